@@ -5,11 +5,11 @@ a passage's vector is the mean over its words; a linear softmax on it gives the
 and the softmax are trained together by Adagrad. Misspellings and unseen endings share most n-grams with known words.
 
 A text is scored passage by passage (every run of `width` words) and takes the highest probability, so that an insult in
-a long text is not averaged away. Labels belong to whole texts, so after some epochs the passages of toxic training
-texts that the model finds harmless are relabelled as such, except each text's worst one.
+a long text is not averaged away. Labels belong to whole texts, so training starts from whole texts and goes on with
+the worst passage of each toxic text against passages of harmless ones.
 
-Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,500, by hash of doc_id) and
-at most `max_passages` passages of each; scoring covers every word of every text.
+Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id), of
+these the ones with at most `max_passages` passages; scoring covers every word of every text.
 
 Defined cases: null and empty text have one passage without words and get the score of the bias alone; labels without a
 document or null labels are not used; without both classes the score is the share of toxic labels (0 without labels);
@@ -31,15 +31,17 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_~"
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+GRAMS = (4, 5, 6)
+PAD = 8  # empty subwords that every word has besides its own, so that a short word's few n-grams do not weigh more
 LIMIT = 500_000
 
 
 def subwords(word: bytes) -> list[int]:
-    """Buckets of a word: itself and its character n-grams of 3 to 5."""
+    """Buckets of a word: itself and its character n-grams of the lengths in GRAMS."""
     bare = word.strip(EDGE) or word
     text = f"<{bare.decode('utf-8', 'replace')}>"
-    grams = {text, *(text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1))}
+    grams = {text, *(text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1))}
     return sorted({xxhash.xxh32_intdigest(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
 
 
@@ -58,7 +60,7 @@ class SubwordSoftmax:
         def value(word: bytes) -> float:
             if len(known) >= LIMIT:
                 known.clear()
-            known[word] = z = float(pull[subwords(word)].mean())
+            known[word] = z = float(pull[found := subwords(word)].sum() / (len(found) + PAD))
             return z
 
         def score(text: bytes) -> float:
@@ -76,73 +78,135 @@ class SubwordSoftmax:
         return score
 
 
-def fit(passages: list[list[bytes]], text_of: np.ndarray, toxic: np.ndarray, *, width: int, dims: int = 8, epochs: int = 9, batch: int = 512, rate: float = 0.35, seed: int = 5) -> SubwordSoftmax:
-    """text_of: each passage's text, by number; toxic: each text's label."""
-    y = toxic[text_of].astype(int) if len(text_of) else np.empty(0, int)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return SubwordSoftmax(np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), width)
-    words = sorted({w for p in passages for w in p})
-    number = {w: i for i, w in enumerate(words)}
-    grams = [subwords(w) for w in words]
-    n_grams = np.array(list(map(len, grams)))
-    gram_at, gram_flat = np.concatenate([[0], np.cumsum(n_grams)]), np.concatenate(grams)
-    n_words = np.array([max(1, len(p)) for p in passages])
-    word_at = np.concatenate([[0], np.cumsum([len(p) for p in passages])])
-    word_flat = np.array([number[w] for p in passages for w in p], np.int64)
-    rng = np.random.default_rng(seed)
-    table = rng.uniform(-0.1, 0.1, (BUCKETS, dims))
-    soft, bias = rng.uniform(-0.5, 0.5, (2, dims)), np.zeros(2)
-    sums = [np.full(table.shape, 1e-6), np.full(soft.shape, 1e-6), np.full(2, 1e-6)]
+class _Bags:
+    """Lists of words by row, and of subword buckets by word, as flat arrays."""
+
+    def __init__(self, passages: list[list[bytes]]):
+        words = sorted({w for p in passages for w in p})
+        number = {w: i for i, w in enumerate(words)}
+        grams = [subwords(w) for w in words]
+        self.n_words = np.array(list(map(len, passages)), np.int64)
+        self.word_at = np.cumsum(self.n_words) - self.n_words
+        self.words = np.fromiter((number[w] for p in passages for w in p), np.int64, int(self.n_words.sum()))
+        self.n_grams = np.array(list(map(len, grams)), np.int64)
+        self.gram_at = np.cumsum(self.n_grams) - self.n_grams
+        self.grams = np.fromiter((g for x in grams for g in x), np.int64, int(self.n_grams.sum()))
 
+    @staticmethod
     def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         ends = np.cumsum(counts)
         return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
-    def gather(rows: np.ndarray):
-        counts = word_at[rows + 1] - word_at[rows]
-        w = word_flat[ranges(word_at[rows], counts)]
-        owner = np.repeat(np.arange(len(rows)), counts)
-        flat = gram_flat[ranges(gram_at[w], n_grams[w])]
-        share = np.repeat(1.0 / (n_grams[w] * n_words[rows][owner]), n_grams[w])
-        return flat, np.repeat(owner, n_grams[w]), share
-
-    def forward(rows: np.ndarray):
-        flat, owner, share = gather(rows)
-        vec = table[flat] * share[:, None]
-        hidden = np.stack([np.bincount(owner, vec[:, d], len(rows)) for d in range(dims)], 1)
-        z = hidden @ soft.T + bias
+
+class _Net:
+    """The table of vectors and the softmax, with Adagrad's sums."""
+
+    def __init__(self, bags: _Bags, trainable: np.ndarray, dims: int, rate: float, rng: np.random.Generator):
+        self.bags, self.trainable, self.rate = bags, trainable, rate
+        self.table = np.where(trainable[:, None], rng.uniform(-0.1, 0.1, (BUCKETS, dims)), 0.0)  # rare buckets stay at zero
+        self.soft, self.bias = rng.uniform(-0.5, 0.5, (2, dims)), np.zeros(2)
+        self.sums = [np.full(self.table.shape, 1e-4), np.full(self.soft.shape, 1e-4), np.full(2, 1e-4)]
+
+    def forward(self, owner: np.ndarray, words: np.ndarray, n_rows: int):
+        """Softmax of rows given as words with the number of their row."""
+        b = self.bags
+        used, where = np.unique(words, return_inverse=True)
+        flat = b.grams[b.ranges(b.gram_at[used], b.n_grams[used])]
+        n = b.n_grams[used]
+        vectors = np.add.reduceat(self.table[flat], np.cumsum(n) - n) / (n + PAD)[:, None]
+        size = np.maximum(np.bincount(owner, minlength=n_rows), 1)
+        hidden = np.stack([np.bincount(owner, v, n_rows) for v in vectors[where].T], 1) / size[:, None]
+        z = hidden @ self.soft.T + self.bias
         p = np.exp(z - z.max(1, keepdims=True))
-        return flat, owner, share, hidden, p / p.sum(1, keepdims=True)
-
-    label = y.copy()
-    for epoch in range(epochs):
-        if epoch >= 3:  # passages of toxic texts that look harmless are harmless, save the worst of each text
-            p = np.concatenate([forward(r)[-1][:, 1] for r in np.array_split(np.arange(len(y)), max(1, len(y) // 4096))])
-            worst = pd.Series(p).groupby(text_of).transform("max").to_numpy() == p
-            label = np.where((y == 1) & ((p >= 0.5) | worst), 1, 0)
-        weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
-        weight = np.minimum(weight, 8.0)
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-            flat, owner, share, hidden, p = forward(rows)
-            d = (p - np.eye(2)[label[rows]]) * weight[rows][:, None] / len(rows)
-            back = d @ soft
-            used, inverse = np.unique(flat, return_inverse=True)
-            g = np.stack([np.bincount(inverse, back[owner, k] * share, len(used)) for k in range(dims)], 1)
-            sums[0][used] += g**2
-            table[used] -= rate * g / np.sqrt(sums[0][used])
-            for value, grad, total in ((soft, d.T @ hidden, sums[1]), (bias, d.sum(0), sums[2])):
-                total += grad**2
-                value -= rate * grad / np.sqrt(total)
-    return SubwordSoftmax((table @ (soft[1] - soft[0])), float(bias[1] - bias[0]), width)
+        return p / p.sum(1, keepdims=True), (flat, n, where, size, hidden)
+
+    def step(self, owner: np.ndarray, words: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        p, (flat, n, where, size, hidden) = self.forward(owner, words, len(label))
+        d = (p - np.eye(2)[label]) * (weight / weight.sum())[:, None]
+        back = (d @ self.soft / size[:, None])[owner]
+        by_word = np.stack([np.bincount(where, v, len(n)) for v in back.T], 1) / (n + PAD)[:, None]
+        owners, keep = np.repeat(np.arange(len(n)), n), self.trainable[flat]
+        hit, at = np.unique(flat[keep], return_inverse=True)
+        g = np.stack([np.bincount(at, v, len(hit)) for v in by_word[owners[keep]].T], 1)
+        self.sums[0][hit] += g**2
+        self.table[hit] -= self.rate * g / np.sqrt(self.sums[0][hit])
+        for value, grad, total in ((self.soft, d.T @ hidden, self.sums[1]), (self.bias, d.sum(0), self.sums[2])):
+            total += grad**2
+            value -= self.rate * grad / np.sqrt(total)
+
+
+def fit(
+    passages: list[list[bytes]],
+    text_of: np.ndarray,
+    toxic: np.ndarray,
+    *,
+    width: int,
+    dims: int = 8,
+    text_epochs: int = 4,
+    epochs: int = 12,
+    batch: int = 256,
+    rate: float = 0.3,
+    min_texts: int = 10,
+    harmless: int = 8,
+    decay: float = 0.85,
+    seed: int = 5,
+) -> SubwordSoftmax:
+    """text_of: each passage's text, by number; toxic: each text's label.
+
+    First whole texts are the bags, which finds the words that toxic texts share. Then the bags are passages: the worst
+    one of each toxic text against passages of harmless texts, `harmless` random ones for each and as many again of
+    those that score highest.
+    """
+    y = toxic[text_of].astype(int) if len(text_of) else np.empty(0, int)
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
+        return SubwordSoftmax(np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), width)
+    rng, b = np.random.default_rng(seed), _Bags(passages)
+    everything = np.repeat(np.arange(len(y)), b.n_words)
+    pairs = np.unique(text_of[everything] * len(b.n_grams) + b.words)  # words by text
+    w = pairs % len(b.n_grams)
+    pairs = np.unique(np.repeat(pairs // len(b.n_grams), b.n_grams[w]) * BUCKETS + b.grams[b.ranges(b.gram_at[w], b.n_grams[w])])
+    least = max(2, min(min_texts, int(toxic.sum()) // 10))  # few labels, fewer texts to share a subword
+    net = _Net(b, np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least, dims, rate, rng)
+
+    def rows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(rows)), b.n_words[rows]), b.words[b.ranges(b.word_at[rows], b.n_words[rows])]
+
+    def scores() -> np.ndarray:
+        """Log-odds of every passage; linear in the words, so each word is looked up once."""
+        pull = net.table @ (net.soft[1] - net.soft[0])
+        by_word = np.add.reduceat(pull[b.grams], b.gram_at) / (b.n_grams + PAD)
+        return np.bincount(everything, by_word[b.words], len(y)) / np.maximum(b.n_words, 1)
+
+    order = np.argsort(text_of, kind="stable")
+    first = np.searchsorted(text_of[order], np.arange(len(toxic) + 1))
+    share = 0.5 / np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)
+    for _ in range(text_epochs):
+        for texts in np.array_split(rng.permutation(len(toxic)), max(1, len(toxic) // 64)):
+            counts = first[texts + 1] - first[texts]
+            rows = order[b.ranges(first[texts], counts)]
+            owner, words = rows_of(rows)
+            net.step(np.repeat(np.arange(len(texts)), counts)[owner], words, toxic[texts].astype(int), share[toxic[texts].astype(int)])
+    bad, good = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    for _ in range(epochs):
+        net.table *= decay
+        z = scores()
+        p = pd.Series(z[bad])
+        worst = bad[p.groupby(text_of[bad]).idxmax().to_numpy()]
+        many = min(len(good), harmless * len(worst))
+        hard = good[np.argsort(-z[good], kind="stable")[:many]]
+        rows = np.concatenate([worst, hard, rng.choice(good, many, replace=False)])
+        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
+            net.step(*rows_of(part), y[part], np.where(y[part] == 1, 4.0, 1.0))
+    return SubwordSoftmax(net.table @ (net.soft[1] - net.soft[0]), float(net.bias[1] - net.bias[0]), width)
 
 
 def passages_of(text: bytes, width: int) -> list[list[bytes]]:
     words = text.lower().split()
-    return [words[i : i + width] for i in range(0, len(words), width)]
+    return [words[i : i + width] for i in range(0, len(words), width)]  # texts without words have none and train nothing
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_500, max_passages: int = 32, width: int = 12, **options) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, max_passages: int = 80, width: int = 6, **options) -> SubwordSoftmax:
     """Fits on at most max_rows texts per class of the labelled rows that `use` (a condition on doc_id) admits."""
     known = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     part = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -154,9 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Colu
             out = []
             for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
                 found = passages_of(text, width)
-                if len(found) > max_passages:
-                    at = np.random.default_rng(doc_id % (1 << 32)).choice(len(found), max_passages, replace=False)
-                    found = [found[i] for i in sorted(at)]
+                if len(found) > max_passages:  # a part of a toxic text may be harmless, so texts train whole or not at all
+                    continue
                 out += [(doc_id, y, b" ".join(p)) for p in found]
             if out:
                 ids, ys, texts = zip(*out)
