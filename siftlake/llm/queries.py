@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_rules, html_text, mixing, quality_gam, token_output, toxicity
+from . import compression_rules, html_text, line_dedup, mixing, quality_gam, token_output, toxicity
 from .common import crc_fold, read_table
 
 THRESHOLD = 0.7
@@ -25,6 +25,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.compression_rules(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_mixing, op7_compression, op8_tokens, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_lines": line_dedup.SQL}
