@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_rules, decontamination, html_text, line_dedup, mixing, quality_gam, token_output, toxicity
+from . import compression_rules, decontamination, html_text, line_dedup, mixing, passage_dedup, quality_gam, token_output, toxicity
 from .common import crc_fold, read_table
 
 THRESHOLD = 0.7
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predict(toxicity.score(docs, model), held_out)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.digest_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {"op6_lines": line_dedup.SQL}
