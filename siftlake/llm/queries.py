@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_rules, decontamination, html_text, line_dedup, mixing, passage_dedup, quality_gam, token_output, toxicity
+from . import compression_rules, decontamination, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
 from .common import crc_fold, read_table
 
 THRESHOLD = 0.7
@@ -15,6 +15,10 @@ def _predict(scored: DataFrame, held_out: Column) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read_table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), use=~held_out)
@@ -55,6 +59,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {"op6_lines": line_dedup.SQL}
