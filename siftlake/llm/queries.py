@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression_rules, decontamination, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
+from . import sql
 from .common import crc_fold, read_table
 
 THRESHOLD = 0.7
@@ -61,4 +62,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
 
-ORACLE_SQL: dict[str, str] = {"op6_lines": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL}
