@@ -109,6 +109,16 @@ class ChunkEncoder:
         return flat[where], np.diff(ends[bounds - 1], prepend=0)
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def _slices(batch: pa.RecordBatch, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about a bounded number of text bytes."""
     sizes = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64)
@@ -125,7 +135,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, partitions:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, start = ChunkEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in _slices(whole):
                 ids, counts = encoder.encode(batch.column(1).to_pylist(), end_id)
