@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -39,10 +40,16 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str, **options: str) -> DataFrame:
-        path = self.path(table)
+    def save(self, df: DataFrame, table: str, *, sweep: bool = False, **options: str) -> DataFrame:
+        """Writes a table and reads it back. sweep: lets Spark delete the shuffle files of steps that are done, which
+        it does only once the driver has collected their plans as garbage."""
+        path, schema = self.path(table), df.schema
         df.write.mode("overwrite").options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if sweep:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, table: str = "") -> None:
         """Removes a table, or everything."""

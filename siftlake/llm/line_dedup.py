@@ -50,19 +50,32 @@ def halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def near_pairs(distinct: DataFrame, scratch: Scratch, near_chars: int) -> DataFrame:
-    """(late, early) ids of distinct lines within one edit, at least one for each line that has an earlier partner."""
-    long = distinct.where(F.length("line") >= near_chars - 1)
-    keys = long.select("id", F.explode(F.array_distinct(halves(F.col("line")))).alias("half"))
+def candidates(places: DataFrame) -> DataFrame:
+    """id and place of the lines that share a half with another line. places: id, place, halves (none for short lines)."""
+    keys = places.select("id", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    ids = keys.join(shared, "half").select("id").distinct()
-    able = scratch.save(long.join(ids, "id", "left_semi").select("id", "place", "line"), "able")
+    return places.select("id", "place").join(keys.join(shared, "half").select("id").distinct(), "id", "left_semi")
+
+
+def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """id, place and line of the given places; one pass over the documents."""
+    wanted = places.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
+    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "wanted")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_row"))
+    met = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_d"]) & (base["_row"] == wanted["_r"]))
+    lines = met.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
+    return lines.select("w.id", "w.place", F.element_at("lines", F.col("w.place.no") + 1).alias("line")).dropDuplicates(["id"])
+
+
+def near_pairs(able: DataFrame, scratch: Scratch, near_chars: int) -> DataFrame:
+    """(late, early) ids of lines within one edit, at least one for each line that has an earlier partner."""
     n = F.length("line")
     cut = lambda i: F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))
     variants = F.array_distinct(F.concat(F.array(F.xxhash64("line")), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(cut(i)))))
     emitted = able.select("id", "place", F.explode(variants).alias("variant"))
     groups = emitted.groupBy("variant").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.save(emitted.join(groups.select("variant", "first"), "variant").select("variant", "id", "place", F.col("first.id").alias("early")), "met")
+    met = emitted.join(groups.select("variant", "first"), "variant").select("variant", "id", "place", F.col("first.id").alias("early"))
+    met = scratch.save(met, "met", sweep=True)
     text = able.select("id", "line")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -82,18 +95,23 @@ def near_pairs(distinct: DataFrame, scratch: Scratch, near_chars: int) -> DataFr
 
 
 def judge_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """place, and why the line goes: 'equal' or 'near'. Kept lines have no row."""
+    """place, and why the line goes: 'equal' or 'near'. Kept lines have no row.
+
+    Tables between the steps hold ids, places and hashes; texts travel only for lines that have a candidate."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs)
-    ids = lines.withColumn("id", _digest(F.col("line")))
-    distinct = scratch.save(ids.groupBy("id").agg(F.min("place").alias("place"), F.first("line").alias("line")), "distinct")
-    near = scratch.save(near_pairs(distinct, scratch, near_chars).select(F.col("late").alias("id")).distinct(), "near")
-    scratch.drop("able")
-    scratch.drop("met")
-    fate = distinct.select("id", F.col("place").alias("first")).join(near.withColumn("near", F.lit(True)), "id", "left")
+    long = F.length("line") >= near_chars - 1
+    ids = lines_of(docs).select(_digest(F.col("line")).alias("id"), "place", F.when(long, F.array_distinct(halves(F.col("line")))).alias("halves"))
+    places = scratch.save(ids.groupBy("id").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "places", sweep=True)
+    wanted = scratch.save(candidates(places), "wanted", sweep=True)
+    able = scratch.save(texts_at(docs, wanted), "able", sweep=True)
+    near = scratch.save(near_pairs(able, scratch, near_chars).select(F.col("late").alias("id")).distinct(), "near")
+    for table in ("able", "met", "wanted"):
+        scratch.drop(table)
+    fate = places.select("id", F.col("place").alias("first")).join(near.withColumn("near", F.lit(True)), "id", "left")
     placed = ids.select("id", "place").join(fate, "id")
     why = F.when(F.col("place") != F.col("first"), "equal").when(F.col("near"), "near")
-    return placed.select("place", why.alias("why")).where(F.col("why").isNotNull())
+    gone = placed.select("place", why.alias("why")).where(F.col("why").isNotNull())
+    return scratch.save(gone, "gone", sweep=True)
 
 
 def dedup_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
