@@ -88,6 +88,14 @@ class WordHash(dict):
         return value
 
 
+_WORDS = WordHash()
+
+
+def worker_words() -> WordHash:
+    """The hashes that this Python worker remembers from task to task."""
+    return _WORDS
+
+
 def hash_words(words: list[bytes], cache: WordHash) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 

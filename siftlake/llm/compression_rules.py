@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, text_bytes, window_hashes
+from .common import WordHash, hash_words, text_bytes, window_hashes, worker_words
 
 #: Length classes by bytes (below), with the lowest and highest ratio of compressed to plain bytes.
 BANDS = (
@@ -79,7 +79,7 @@ def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze, cache = zstandard.ZstdCompressor(level=limits.level).compress, WordHash()
+        squeeze, cache = zstandard.ZstdCompressor(level=limits.level).compress, worker_words()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             out: list[tuple] = []

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, hash_words, mix64, text_bytes, window_hashes
+from .common import Scratch, WordHash, hash_words, mix64, text_bytes, window_hashes, worker_words
 
 BUCKETS = 4
 MANTISSA = 10
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
     names = ["doc_id", "n", "fa", "fb", "keys"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, factors = WordHash(), factors_of(bands)
+        cache, factors = worker_words(), factors_of(bands)
         for batch in batches:
             sets = [shingles(t, size, cache) for t in batch.column(1).to_pylist()]
             n = np.array(list(map(len, sets)), np.int64)
@@ -172,7 +172,7 @@ class NearDuplicates:
         size = self.size
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache = WordHash()
+            cache = worker_words()
             for batch in batches:
                 data = [shingles(t, size, cache).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, shuffle_partitions, text_bytes, window_hashes
+from .common import WordHash, hash_words, shuffle_partitions, text_bytes, window_hashes, worker_words
 
 WIDTH, GRAM = 13, 5
 NULL_ID = -(1 << 62)
@@ -121,6 +121,16 @@ def _to_blocks(blocks: np.ndarray, *columns: np.ndarray) -> pa.Table:
     return pa.table({"block": pa.array(names, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
+def spelled(hashes: np.ndarray) -> tuple[str, int]:
+    """The words as a string, each as the same number of letters. Each place of a word has 64 letters of its own, so a
+    phrase is only found where a word begins, and no node of an automaton has more than 64 children."""
+    _, number = np.unique(hashes, return_inverse=True)
+    digits = max(1, -(-int(number.max(initial=0)).bit_length() // 6))
+    place = np.arange(digits)
+    codes = 0x100 + 64 * place + (number[:, None] >> (6 * place) & 63)
+    return codes.astype("<u4").tobytes().decode("utf-32-le"), digits
+
+
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of the starts."""
     edge = np.zeros(n + width + 1, np.int32)
@@ -142,7 +152,7 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
     )
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        b = Block(table, width, WordHash())
+        b = Block(table, width, worker_words())
         at, anchor = b.anchors(b.starts(), gram)
         at, first = np.unique(at, return_index=True)
         anchor, doc = anchor[first], b.ids[b.docs_at(at)] if len(at) else np.empty(0, np.int64)
@@ -163,7 +173,7 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
         return _to_blocks(block[hit], key[hit] & ~_FLAG)
 
     def send_windows(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-        b = Block(table, width, WordHash())
+        b = Block(table, width, worker_words())
         again = np.sort(np.concatenate([unpack(d, np.uint64)[0] for d in known.column("data").to_pylist()] or [np.empty(0, np.uint64)]))
         starts = b.starts()
         _, anchor = b.anchors(starts, gram)
@@ -189,7 +199,7 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
     def remove(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         import ahocorasick
 
-        b = Block(table, width, WordHash())
+        b = Block(table, width, worker_words())
         parts = [unpack(d, np.uint64, np.int64, np.uint32) for d in known.column("data").to_pylist()]
         gone = np.zeros(len(b.hashes), bool)
         if parts:
@@ -197,17 +207,19 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
             order = np.argsort(window)
             window, least = window[order], least[order]
             at, _ = b.anchors(start.astype(np.int64), gram)
-            symbols = (b.hashes & np.uint64(0x7FFFFFFF)).tolist()
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for i in np.unique(at).tolist():
-                automaton.add_word(tuple(symbols[i : i + gram]))
+            at = np.unique(at)
+            letters, digits = spelled(b.hashes)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for i in (at * digits).tolist():
+                automaton.add_word(letters[i : i + gram * digits])
             automaton.make_automaton()
-            begin = b.ends - b.sizes
-            hits = [a + end - gram + 1 for a, z in zip(begin.tolist(), b.ends.tolist()) if z - a >= width for end, _ in automaton.iter(tuple(symbols[a:z]))]
+            # A phrase that runs over the end of a document is no window's anchor and falls out below.
+            hits = np.fromiter((end for end, _ in automaton.iter(letters)), np.int64)
+            hits = (hits + 1) // digits - gram
             around = np.zeros(len(b.hashes), bool)
             reach = width - gram
             for back in range(reach + 1):
-                place = np.array(hits, np.int64) - back
+                place = hits - back
                 around[place[place >= 0]] = True
             starts = b.starts()
             starts = starts[around[starts]]
