@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,24 @@ from .common import Scratch, public_tokenizer, shuffle_partitions, text_bytes
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-class ChunkEncoder:
-    """Token ids by chunk between white space, remembered.
+class ChunkEncoder(dict):
+    """Numbers of the chunks between white space, and the token ids of each; forgets everything when it has grown large.
 
     The tokenizer cuts at white space and wherever the class of characters changes before it looks at its vocabulary,
-    and it lower-cases. So a text's ids are those of its chunks in a row, and a chunk of letters followed by
-    punctuation has the ids of the two. Plain Latin letters go straight to the library's model; everything else goes
-    through the whole library pipeline.
+    and it lower-cases. So a text's ids are those of its chunks in a row, and letters followed by punctuation have the
+    ids of the two. Texts are therefore lower-cased, and a full stop or comma that ends a chunk is set apart as a marked
+    chunk of its own, which holds wherever the character before it is a letter or a digit; the few texts where it is not
+    are cut at white space only. Plain Latin letters go straight to the library's model; everything else goes through
+    the whole library pipeline.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:*%$&#|]*)")
+    MARK = b"\xff"  # in no UTF-8 text
+    END = b"\n"  # no chunk has a line end; the end id stands under it
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,66 +53,77 @@ class ChunkEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.shown = {**{b: chr(b) for b in visible}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
-        self.pieces: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {"": []}
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.first: list[int] = []
-        self.count: list[int] = []
-        self.flat: list[int] = []
+        self.clear()
+        self.first, self.count, self.flat, self.kind = array("q"), array("i"), array("i"), bytearray()
 
     def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            if len(self.pieces) >= self.LIMIT:
-                self.pieces.clear()
-            shown = text.encode().decode("latin-1").translate(self.shown)
-            self.pieces[text] = ids = [t.id for t in self.model.tokenize(shown)]
-        return ids
-
-    def add(self, chunk: bytes) -> int:
-        text = chunk.decode("utf-8", "replace")
-        m = self.PLAIN.fullmatch(text.lower())
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
+
+    def __missing__(self, chunk: bytes) -> int:
+        marked = chunk[:1] == self.MARK and len(chunk) > 1
+        text = (chunk[1:] if marked else chunk).decode("utf-8", "replace")
+        m = self.PLAIN.fullmatch(text)
         if m:
-            ids = self.piece(m[1]) + (self.piece(m[2]) if m[2] else [])
+            tail = self.tails.get(m[2])
+            if tail is None:
+                tail = self.piece(m[2])
+                if len(self.tails) < 10_000:
+                    self.tails[m[2]] = tail
+            ids = self.piece(m[1]) + tail
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.index[chunk] = at = len(self.first)
+        return self.put(chunk, ids, 1 if marked else 0 if text.lower()[-1:].isalnum() else 2)
+
+    def put(self, chunk: bytes, ids: list[int], kind: int) -> int:
+        self[chunk] = at = len(self.first)
         self.first.append(len(self.flat))
         self.count.append(len(ids))
+        self.kind.append(kind)  # 1: marked, 2: ends in something else than a letter or digit
         self.flat.extend(ids)
         return at
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def chunks(self, text: bytes, plain: bool) -> list[bytes]:
+        text = text.lower()
+        if not plain:
+            for end in (b". ", b", ", b".\n", b",\n"):
+                text = text.replace(end, b" \xff" + end)
+        return text.split()
+
+    def encode(self, texts: list[bytes], end_id: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each followed by the end id, and how many each text has."""
-        if len(self.index) >= self.LIMIT:
-            self.reset()
-        index, add, at, sizes = self.index, self.add, [], []
-        end = index.get(b"\n")  # no chunk has a line end; the end id stands under it
-        if end is None:
-            index[b"\n"] = end = len(self.first)
-            self.first.append(len(self.flat))
-            self.count.append(1)
-            self.flat.append(end_id)
-        for text in texts:
-            chunks = text.split()
-            found = list(map(index.get, chunks))
-            if None in found:
-                found = [index.get(c) if i is None else i for c, i in zip(chunks, found)]
-                found = [add(c) if i is None and c not in index else index[c] if i is None else i for c, i in zip(chunks, found)]
-            found.append(end)
-            at.append(np.array(found, np.int64))
-            sizes.append(len(found))
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        rows = np.concatenate(at)
-        first, count, flat = np.array(self.first, np.int64), np.array(self.count, np.int64), np.array(self.flat, np.int32)
-        n = count[rows]
+        if len(self) >= self.LIMIT:
+            self.reset()
+        if self.END not in self:
+            self.put(self.END, [end_id], 0)
+        every: list[bytes] = []
+        bounds = []
+        for text in texts:
+            if self.MARK in text:  # not UTF-8; read as such bytes are decoded
+                text = text.decode("utf-8", "replace").encode()
+            every += self.chunks(text, plain)
+            every.append(self.END)
+            bounds.append(len(every))
+        rows = np.fromiter(map(self.__getitem__, every), np.int64, len(every))
+        last = np.array(bounds)
+        kind = np.frombuffer(bytes(self.kind), np.uint8)[rows]
+        wrong = np.flatnonzero((kind[1:] == 1) & (kind[:-1] != 0)) + 1
+        n = np.array(self.count, np.int64)[rows]
         ends = np.cumsum(n)
-        where = np.repeat(first[rows] - (ends - n), n) + np.arange(ends[-1])
-        bounds = np.cumsum(np.array(sizes))
-        return flat[where], np.diff(ends[bounds - 1], prepend=0)
+        flat = np.array(self.flat, np.int32)[np.repeat(np.array(self.first)[rows] - (ends - n), n) + np.arange(ends[-1])]
+        sizes = np.diff(ends[last - 1], prepend=0)
+        if plain or not len(wrong):
+            return flat, sizes
+        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        for i in np.unique(np.searchsorted(last, wrong, side="right")).tolist():
+            parts[i], size = self.encode([texts[i]], end_id, plain=True)
+            sizes[i] = size[0]
+        return np.concatenate(parts), sizes
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
