@@ -1,6 +1,6 @@
 """All registered queries; importing a module here registers its own."""
 
-from . import bytes_and_text, relations, scoring
+from . import bytes_and_text, images, relations, scoring
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bytes_and_text", "relations", "scoring"]
+__all__ = ["ORACLE_SQL", "QUERIES", "bytes_and_text", "images", "relations", "scoring"]
