@@ -18,7 +18,7 @@ rows that repeat a doc_id are ordered by their text; an empty table gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -73,8 +73,10 @@ def near_pairs(able: DataFrame, scratch: Scratch, near_chars: int) -> DataFrame:
     cut = lambda i: F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))
     variants = F.array_distinct(F.concat(F.array(F.xxhash64("line")), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(cut(i)))))
     emitted = able.select("id", "place", F.explode(variants).alias("variant"))
-    groups = emitted.groupBy("variant").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = emitted.join(groups.select("variant", "first"), "variant").select("variant", "id", "place", F.col("first.id").alias("early"))
+    # Variants are made and dealt out once; Spark spills the rows of a variant, which are one per distinct line.
+    same = Window.partitionBy("variant")
+    ranked = emitted.select("*", F.min(F.struct("place", "id")).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("n"))
+    met = ranked.where("n > 1").select("variant", "id", "place", F.col("first.id").alias("early"))
     met = scratch.save(met, "met", sweep=True)
     text = able.select("id", "line")
 
