@@ -20,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on the labelled rows outside the held-out fold."""
     model = quality_gam.train(docs, read_table(spark, sf_dir, "labels"), use=crc_fold(F.col("doc_id"), 4) != 2)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_gam.score(docs, model, keep=rest).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality_gam.score(docs, model, keep=rest, into="_quality_score")
+    return scored.where(F.col("_quality_score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

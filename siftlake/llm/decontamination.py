@@ -147,14 +147,14 @@ def shards(items: DataFrame, shard_bytes: int) -> Iterator[list[tuple[int, str]]
         yield part
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the kept columns, and leaks, an array of (item_id, distance): a row per row of docs."""
+def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), into: str = "leaks") -> DataFrame:
+    """doc_id, the kept columns, and `into`, an array of (item_id, distance): a row per row of docs."""
     kinds = dict(docs.dtypes)
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
     schema = ", ".join(
-        [f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "_leak_text string", "leaks array<struct<item_id: long, distance: int>>"]
+        [f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "_leak_text string", f"`{into}` array<struct<item_id: long, distance: int>>"]
     )
-    names = ["doc_id", *keep, "_leak_text", "leaks"]
+    names = ["doc_id", *keep, "_leak_text", into]
 
     def searched(part: list[tuple[int, str]]):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
 
         return rows
 
-    none = F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)").alias("leaks")
+    none = F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)").alias(into)
     out = docs.select("doc_id", *keep, F.col("text").cast("string").alias("_leak_text"), none)
     for part in shards(items, shard_bytes):
         out = out.mapInArrow(searched(part), schema)
@@ -192,4 +192,4 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that leak nothing, with their columns."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return find_leaks(docs, items, keep=rest, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    return find_leaks(docs, items, keep=rest, into="_leaks_found", **options).where(F.size("_leaks_found") == 0).select(*docs.columns)

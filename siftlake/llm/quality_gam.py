@@ -188,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", use: Co
     return fit(x, table["label"].to_numpy(float), **options)
 
 
-def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns (doc_id first) and the score of every row of docs."""
+def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = (), into: str = "score") -> DataFrame:
+    """The kept columns (doc_id first) and the score of every row of docs, in the column `into`."""
     kinds = dict(docs.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ()) -> DataFrame:
             if batch.num_rows:
                 x = np.array([features(t or b"") for t in batch.column(batch.num_columns - 1).to_pylist()], float)
                 kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(x))], ["doc_id", *keep, "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(x))], ["doc_id", *keep, into])
 
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "score double"])
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), f"`{into}` double"])
     return docs.select("doc_id", *keep, text_bytes().alias("_text")).mapInArrow(rows, schema)

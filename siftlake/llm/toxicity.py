@@ -144,7 +144,8 @@ def fit(
     dims: int = 8,
     text_epochs: int = 4,
     epochs: int = 12,
-    batch: int = 256,
+    text_steps: int = 48,
+    steps: int = 100,
     rate: float = 0.3,
     min_texts: int = 10,
     harmless: int = 8,
@@ -182,7 +183,7 @@ def fit(
     first = np.searchsorted(text_of[order], np.arange(len(toxic) + 1))
     share = 0.5 / np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)
     for _ in range(text_epochs):
-        for texts in np.array_split(rng.permutation(len(toxic)), max(1, len(toxic) // 64)):
+        for texts in np.array_split(rng.permutation(len(toxic)), max(1, min(len(toxic) // 8, text_steps))):
             counts = first[texts + 1] - first[texts]
             rows = order[b.ranges(first[texts], counts)]
             owner, words = rows_of(rows)
@@ -196,7 +197,7 @@ def fit(
         many = min(len(good), harmless * len(worst))
         hard = good[np.argsort(-z[good], kind="stable")[:many]]
         rows = np.concatenate([worst, hard, rng.choice(good, many, replace=False)])
-        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
+        for part in np.array_split(rng.permutation(rows), max(1, min(len(rows) // 16, steps))):
             net.step(*rows_of(part), y[part], np.where(y[part] == 1, 4.0, 1.0))
     return SubwordSoftmax(net.table @ (net.soft[1] - net.soft[0]), float(net.bias[1] - net.bias[0]), width)
 
