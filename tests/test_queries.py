@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siftlake import plans
@@ -14,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def _rows(frame):
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         if isinstance(v, float):
             return round(v, 5) + 0.0
