@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -35,27 +35,72 @@ def input_type(data: Column) -> Column:
     )
 
 
-def name_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds the matching-blocks ratio of two names, which no built-in function gives."""
+def name_similarity(pairs: DataFrame, a: str, b: str, least: str = "0") -> DataFrame:
+    """Adds the matching-blocks ratio of two names, which no built-in function gives; pairs below `least`, an expression
+    over the pairs, are left out, by the ratio's own upper bounds where they tell."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
+        def ratio(x: str, y: str, floor: float) -> float:
+            m = SequenceMatcher(None, x, y)
+            return m.ratio() if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor else -1.0
+
         for pdf in batches:
-            yield pdf.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf[a], pdf[b])])
+            found = pdf.assign(ratio=[ratio(x, y, z) for x, y, z in zip(pdf[a], pdf[b], pdf["_floor"])])
+            yield found[found["ratio"] >= found["_floor"]].drop(columns="_floor")
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in pairs.dtypes), "ratio double"])
-    return pairs.mapInPandas(rows, schema)
+    return pairs.withColumn("_floor", F.expr(least).cast("double")).mapInPandas(rows, schema)
+
+
+#: Names of one group that meet in one task; larger groups are split.
+GROUP_SLICE = 1024
+
+
+def _met(keyed: DataFrame, on: list[str], item: str) -> DataFrame:
+    """Ordered pairs (x, y) of different items with an equal key. One side of a large group is split by hash and the
+    other repeated for each part, so no group is one task's work."""
+    sizes = keyed.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / GROUP_SLICE).cast("int").alias("_parts"))
+    sized = keyed.join(sizes, on)
+    left = sized.select(*on, F.col(item).alias("x"), F.pmod(F.xxhash64(item), "_parts").cast("int").alias("_part"))
+    right = sized.select(*on, F.col(item).alias("y"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, [*on, "_part"]).where("x <> y").select(*[c for c in on if c != "token"], "x", "y").distinct()
+
+
+def _rarest_letters(names: DataFrame, block: str, name: str, least: float) -> DataFrame:
+    """(block, name, token): the letters of a name, numbered where they repeat, up to the point from which on a name can
+    no longer share enough of them. 2 M / (p + q) >= least with M <= min(p, q) needs M >= p * least / (2 - least), so two
+    such names share one of these letters in any one order of letters."""
+    def numbered(text: Column) -> Column:
+        every = F.split(text, "")
+        return F.transform(every, lambda c, i: F.concat(c, F.size(F.filter(F.slice(every, 1, i + 1), lambda d: d == c)).cast("string")))
+
+    letters = names.select(block, name, F.length(name).alias("p"), F.explode(numbered(F.col(name))).alias("token"))
+    often = letters.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = F.row_number().over(Window.partitionBy(block, name).orderBy("df", "token"))
+    keep = F.col("p") - F.ceil(F.col("p") * (least / (2 - least)) - 1e-9) + 1
+    return letters.join(often, "token").withColumn("rn", order).where(F.col("rn") <= keep).select(block, name, "token")
 
 
 def related_names(files: DataFrame, key: str, name: str, block: str) -> DataFrame:
-    """Pairs of one block with a shared name token: (a, b, ratio, confidence). Each name meets the first of its block and
-    token, so a common token gives one pair per name."""
-    tokens = files.select(key, name, block, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]{3,})"), F.lit(1)))).alias("token"))
-    first = tokens.groupBy(block, "token").agg(F.min(F.struct(F.col(key).alias("a"), F.col(name).alias("name_a"))).alias("f"))
-    pairs = tokens.join(first, [block, "token"]).where(F.col("f.a") != F.col(key)).select("f.a", "f.name_a", F.col(key).alias("b"), F.col(name).alias("name_b")).distinct()
-    scored = name_similarity(pairs, "name_a", "name_b").where("ratio >= 0.45")
-    return scored.select("a", "b", F.round("ratio", 6).alias("ratio"), F.round(F.least(F.lit(0.6), 0.25 + 0.4 * F.col("ratio")), 6).alias("confidence"))
+    """All pairs of one block, a before b, with a shared name token and a ratio of 0.45, or a ratio of 0.75 without one:
+    (a, b, ratio, confidence). Equal names are scored once and the files put back in at the end. The ratio depends on the
+    order of the two names, so both orders are scored where both occur."""
+    rows = files.where(F.col(name).isNotNull() & F.col(block).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(block).alias("g"))
+    names = rows.groupBy("g", "n").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("n"), F.lit("([a-z0-9]{3,})"), F.lit(1)))
+    by_word = _met(names.select("g", "n", F.explode(words).alias("token")), ["g", "token"], "n").withColumn("least", F.lit(0.45))
+    by_letter = _met(_rarest_letters(names.select("g", "n"), "g", "n", 0.75), ["g", "token"], "n").withColumn("least", F.lit(0.75))
+    # A name stands for itself too: two files of one name have all tokens and letters in common.
+    same = names.where("first < last").select("g", F.col("n").alias("x"), F.col("n").alias("y"), F.when(F.size(words) > 0, 0.45).otherwise(0.75).alias("least"))
+    pairs = by_word.unionByName(by_letter).unionByName(same).groupBy("g", "x", "y").agg(F.min("least").alias("least"))
+    low, high = names.select("g", F.col("n").alias("x"), "first"), names.select("g", F.col("n").alias("y"), "last")
+    pairs = pairs.join(low, ["g", "x"]).join(high, ["g", "y"]).where("first < last").select("g", "x", "y", "least")
+    scored = name_similarity(pairs, "x", "y", "least").select("g", "x", "y", "ratio")
+    a, b = rows.select("g", F.col("n").alias("x"), F.col("k").alias("a")), rows.select("g", F.col("n").alias("y"), F.col("k").alias("b"))
+    found = scored.join(a, ["g", "x"]).join(b, ["g", "y"]).where("a < b")
+    return found.select("a", "b", F.round("ratio", 6).alias("ratio"), F.round(F.least(F.lit(0.6), 0.25 + 0.4 * F.col("ratio")), 6).alias("confidence"))
 
 
 def outlook(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
