@@ -125,6 +125,31 @@ def identifiers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.kind", "x.value").distinct()
 
 
+#: Holders of one identifier that meet in one task; more are split.
+HOLDERS_SLICE = 1024
+
+
+def shared_identifiers(ids: DataFrame) -> DataFrame:
+    """(doc_id, first, shared, confidence) of all pairs of documents with a common (kind, value), first < doc_id.
+
+    Values of one holder link nothing and are left out. Documents with equal sets of the rest are one class, which its
+    smallest doc_id stands for; shared values are counted between classes and the members put back in."""
+    held = ids.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sets = ids.join(held, ["kind", "value"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "value"))).alias("set"))
+    hashed = sets.select("doc_id", F.sha2(F.to_json("set"), 256).alias("h"))
+    members = hashed.join(hashed.groupBy("h").agg(F.min("doc_id").alias("class")), "h").select("doc_id", "class")
+    terms = sets.join(members.where("doc_id = class"), "doc_id").select("class", F.explode("set").alias("x")).select("class", "x.kind", "x.value")
+    parts = terms.groupBy("kind", "value").agg(F.ceil(F.count(F.lit(1)) / HOLDERS_SLICE).cast("int").alias("parts"))
+    sized = terms.join(parts, ["kind", "value"])
+    left = sized.select("kind", "value", F.col("class").alias("ca"), F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"))
+    right = sized.select("kind", "value", F.col("class").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = left.join(right, ["kind", "value", "part"]).where("ca <= cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = (members.select(F.col("class").alias(c), F.col("doc_id").alias(d)) for c, d in (("ca", "da"), ("cb", "db")))
+    pairs = met.join(a, "ca").join(b, "cb").where("ca <> cb or da < db")
+    found = pairs.select(F.greatest("da", "db").alias("doc_id"), F.least("da", "db").alias("first"), "shared")
+    return found.withColumn("confidence", F.round(F.least(F.lit(0.8), 0.45 + 0.1 * F.col("shared")), 6))
+
+
 _IDS_SQL = " UNION ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for k, p in IDENTIFIERS.items())
 
 
@@ -136,11 +161,8 @@ def q_identifiers(t: Tables) -> DataFrame:
 @query(f"""WITH i AS ({_IDS_SQL}), g AS (SELECT kind, value, min(doc_id) AS first, count(*) AS n FROM i GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, first, count(*)::BIGINT AS shared, round(least(0.8, 0.45 + 0.1 * count(*)), 6) AS confidence FROM i JOIN g USING (kind, value) WHERE doc_id <> first GROUP BY 1, 2""")
 def q_shared_identifiers(t: Tables) -> DataFrame:
-    """Each artefact with the first one that has the same identifiers, so a common value gives one row per artefact."""
-    ids = identifiers(t.documents)
-    first = ids.groupBy("kind", "value").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = ids.join(first, ["kind", "value"]).where(F.col("doc_id") != F.col("first")).groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"))
-    return met.withColumn("confidence", F.round(F.least(F.lit(0.8), 0.45 + 0.1 * F.col("shared")), 6))
+    """Each two artefacts that share identifiers, the later one as doc_id, with the full number of them."""
+    return shared_identifiers(identifiers(t.documents))
 
 
 @query(r"""SELECT doc_id, len(ts)::BIGINT AS n, ts[1] AS first, ts[-1] AS last FROM (

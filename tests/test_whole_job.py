@@ -4,6 +4,7 @@ import re
 from difflib import SequenceMatcher
 
 from siftlake.operators import services
+from siftlake.plans import bytes_and_text
 
 
 def test_related_names_are_all_pairs(spark):
@@ -21,3 +22,12 @@ def test_related_names_are_all_pairs(spark):
     files = spark.createDataFrame(rows, "id long, name string, block string")
     got = [(r["a"], r["b"], r["ratio"]) for r in services.related_names(files, "id", "name", "block").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shared_identifiers_are_all_pairs(spark):
+    sets = {1: "x", 2: "y", 3: "z", 4: "xyz", 5: "xyz", 6: "xyq", 7: "w", 8: "xq", 9: "v", 10: "xyz"}
+    ids = spark.createDataFrame([(d, "email", v) for d, s in sets.items() for v in s], "doc_id long, kind string, value string")
+    want = {(b, a): len(set(x) & set(y)) for a, x in sets.items() for b, y in sets.items() if a < b and set(x) & set(y)}
+    rows = bytes_and_text.shared_identifiers(ids).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["first"]): r["shared"] for r in rows} == want
+    assert next(r["confidence"] for r in rows if (r["doc_id"], r["first"]) == (5, 4)) == 0.75
