@@ -105,14 +105,20 @@ def related_names(files: DataFrame, key: str, name: str, block: str) -> DataFram
 
 def outlook(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     """Recovery outlook of each gap (file, gap, length, family): HIGH if a structural hit of the same family fits, MEDIUM
-    if one of about the size does, LOW if any of the family is free, else UNKNOWN; with the eight best candidates."""
-    met = gaps.join(candidates, "family", "left")
-    fits = F.abs(F.col("size") - F.col("length")) <= 0.1 * F.col("length")
-    rank = F.when(F.col("candidate").isNull(), 0).when(F.col("structural") & (F.col("size") <= F.col("length")), 3).when(fits, 2).otherwise(1)
-    item = F.struct((-rank).alias("rank"), F.abs(F.col("size") - F.col("length")).alias("off"), "candidate")
-    out = met.groupBy("file", "gap").agg(F.max(rank).alias("level"), F.slice(F.array_sort(F.collect_list(F.when(F.col("candidate").isNotNull(), item))), 1, 8).alias("best"))
+    if one of about the size does, LOW if any of the family is free, else UNKNOWN; with the eight best candidates.
+
+    Candidates of one family, size and kind rank alike, so their eight smallest ids stand for all of them, and each length
+    of a family is judged once."""
+    kinds = candidates.groupBy("family", "size", "structural").agg(F.slice(F.array_sort(F.collect_set("candidate")), 1, 8).alias("ids"))
+    met = gaps.select("family", "length").distinct().join(kinds, "family")
+    off = F.abs(F.col("size") - F.col("length"))
+    rank = F.when(F.col("structural") & (F.col("size") <= F.col("length")), 3).when(off <= 0.1 * F.col("length"), 2).otherwise(1)
+    items = F.transform("ids", lambda i: F.struct((-rank).alias("rank"), off.alias("off"), i.alias("candidate")))
+    best = met.groupBy("family", "length").agg(F.max(rank).alias("level"), F.slice(F.array_sort(F.flatten(F.collect_list(items))), 1, 8).alias("best"))
     level = F.when(F.col("level") == 3, "HIGH").when(F.col("level") == 2, "MEDIUM").when(F.col("level") == 1, "LOW").otherwise("UNKNOWN")
-    return out.select("file", "gap", level.alias("level"), F.transform("best", lambda x: x["candidate"]).alias("candidates"))
+    none = F.array().cast(f"array<{dict(candidates.dtypes)['candidate']}>")
+    found = F.coalesce(F.transform("best", lambda x: x["candidate"]), none)
+    return gaps.join(best, ["family", "length"], "left").select("file", "gap", level.alias("level"), found.alias("candidates"))
 
 
 def recommendations(files: DataFrame, limit: int = 20) -> DataFrame:

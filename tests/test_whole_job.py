@@ -31,3 +31,27 @@ def test_shared_identifiers_are_all_pairs(spark):
     rows = bytes_and_text.shared_identifiers(ids).collect()
     assert len(rows) == len(want) and {(r["doc_id"], r["first"]): r["shared"] for r in rows} == want
     assert next(r["confidence"] for r in rows if (r["doc_id"], r["first"]) == (5, 4)) == 0.75
+
+
+def test_outlook_levels_and_candidates(spark):
+    gaps = [(1, 1, 1000, "a"), (2, 1, 950, "a"), (3, 1, 100, "a"), (4, 1, 1000, "b"), (5, 1, 5, "c"), (6, 1, 1000, "hot")]
+    free = [("a", 11, 1000, True), ("a", 12, 900, True), ("a", 13, 990, False), ("a", 14, 9000, False), ("b", 21, 1090, False), ("b", 22, 5, False)]
+    free += [("hot", 100 + i, 700 + i % 2, i % 3 == 0) for i in range(60)]
+    rows = services.outlook(spark.createDataFrame(gaps, "file long, gap long, length long, family string"), spark.createDataFrame(free, "family string, candidate long, size long, structural boolean")).collect()
+
+    def rank(length, size, structural):
+        return 3 if structural and size <= length else 2 if abs(size - length) <= 0.1 * length else 1
+
+    for r in rows:
+        _, _, length, family = gaps[r["file"] - 1]
+        best = sorted((-rank(length, s, k), abs(s - length), c) for f, c, s, k in free if f == family)[:8]
+        assert r["candidates"] == [c for _, _, c in best]
+        assert r["level"] == ("UNKNOWN", "LOW", "MEDIUM", "HIGH")[-best[0][0] if best else 0]
+    assert sorted(r["level"] for r in rows) == ["HIGH", "HIGH", "HIGH", "LOW", "MEDIUM", "UNKNOWN"]
+
+
+def test_outlook_query_has_all_levels(spark):
+    from siftlake import plans
+
+    levels = {r["level"] for r in plans.QUERIES["q_outlook"](spark, "/root/testdata/sf0.001").select("level").collect()}
+    assert levels == {"HIGH", "MEDIUM", "LOW", "UNKNOWN"}
