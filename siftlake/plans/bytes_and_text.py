@@ -242,7 +242,27 @@ def q_rules(t: Tables) -> DataFrame:
 SELECT doc_id, text, unnest(range(0, octet_length(encode(substring(text, 1, 64)))::BIGINT, 16)) AS off FROM documents WHERE length(text) > 0)""")
 def q_hex_view(t: Tables) -> DataFrame:
     """Lines of sixteen bytes of a view (the first 64 characters), as the hex view of an artefact shows them."""
-    view = t.documents.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, 64).cast("binary").alias("v"))
-    lines = view.select("doc_id", F.hex("v").alias("h"), F.explode(F.sequence(F.lit(0), F.octet_length("v") - 1, F.lit(16))).alias("off"))
-    part = F.substring("h", 2 * F.col("off") + 1, F.lit(32))
-    return lines.select("doc_id", F.col("off").cast("long").alias("off"), F.trim(F.regexp_replace(part, "(..)", "$1 ")).alias("line"))
+    return hex_view(t.documents.select("doc_id", F.substring("text", 1, 64).cast("binary").alias("v")), "doc_id", "v")
+
+
+def hex_view(df: DataFrame, key: str, data: str, offset: int = 0, length: int | None = None) -> DataFrame:
+    """(key, off, line): lines of sixteen bytes from an offset on, which is held within the data, over `length` bytes or
+    to the end. Cut from the bytes, so a line costs the same wherever it stands."""
+    size = F.octet_length(data)
+    start = F.greatest(F.lit(0), F.least(F.lit(offset), size - 1))
+    left = size - start if length is None else F.least(F.lit(length), size - start)
+    views = df.where(size > 0).select(key, F.col(data).alias("_data"), start.alias("_start"), left.alias("_left")).where("_left > 0")
+    offs = F.sequence(F.lit(0), F.col("_left") - 1, F.lit(16))
+
+    def line(i: Column) -> Column:
+        part = F.hex(F.substring(F.col("_data"), F.col("_start") + i + 1, F.least(F.lit(16), F.col("_left") - i)))
+        return F.struct((F.col("_start") + i).cast("long").alias("off"), F.trim(F.regexp_replace(part, "(..)", "$1 ")).alias("line"))
+
+    return views.select(key, F.explode(F.transform(offs, line)).alias("l")).select(key, "l.off", "l.line")
+
+
+@query(r"""SELECT doc_id, off::BIGINT AS off, trim(regexp_replace(h[2 * off + 1:2 * off + 32], '(..)', '\1 ', 'g')) AS line FROM (
+SELECT doc_id, upper(hex(encode(text))) AS h, unnest(range(0, octet_length(encode(text))::BIGINT, 16)) AS off FROM documents WHERE length(text) > 0)""")
+def q_hex_dump(t: Tables) -> DataFrame:
+    """Lines of sixteen bytes over the whole of each text."""
+    return hex_view(t.documents.select("doc_id", F.col("text").cast("binary").alias("v")), "doc_id", "v")

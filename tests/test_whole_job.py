@@ -55,3 +55,23 @@ def test_outlook_query_has_all_levels(spark):
 
     levels = {r["level"] for r in plans.QUERIES["q_outlook"](spark, "/root/testdata/sf0.001").select("level").collect()}
     assert levels == {"HIGH", "MEDIUM", "LOW", "UNKNOWN"}
+
+
+def test_hex_view_shows_any_bytes(spark):
+    texts = {1: b"a", 2: bytes(range(256)) * 5, 3: "é".encode() * 40, 4: b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "id long, data binary")
+    for offset, length in ((0, None), (70, 33), (1000, 512), (-3, 16)):
+        want = set()
+        for k, v in texts.items():
+            start = max(0, min(offset, len(v) - 1))
+            part = v[start : start + length] if length else v[start:]
+            want |= {(k, start + i, part[i : i + 16].hex(" ").upper()) for i in range(0, len(part), 16)}
+        rows = bytes_and_text.hex_view(df, "id", "data", offset, length).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_hex_dump_reaches_the_end(spark):
+    from siftlake import plans
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("sum(ceil(octet_length(cast(text as binary)) / 16)) as n").first()
+    assert plans.QUERIES["q_hex_dump"](spark, "/root/testdata/sf0.001").count() == docs["n"]
