@@ -173,8 +173,11 @@ def q_new_loss(t: Tables) -> DataFrame:
 _LINKS = """SELECT DISTINCT least(l_partkey, f) AS a, greatest(l_partkey, f) AS b FROM (SELECT l_partkey, min(l_partkey) OVER (PARTITION BY l_suppkey, l_quantity, l_linenumber) AS f FROM lineitem WHERE l_discount >= 0.09) WHERE l_partkey <> f"""
 
 
-def _links(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_discount >= 0.09").select("l_suppkey", "l_quantity", "l_linenumber", "l_partkey")
+_ALL_LINKS = _LINKS.replace(" WHERE l_discount >= 0.09", "")
+
+
+def _links(t: Tables, which: str = "l_discount >= 0.09") -> DataFrame:
+    rows = t.lineitem.where(which).select("l_suppkey", "l_quantity", "l_linenumber", "l_partkey")
     first = rows.groupBy("l_suppkey", "l_quantity", "l_linenumber").agg(F.min("l_partkey").alias("a"))
     return rows.join(first, ["l_suppkey", "l_quantity", "l_linenumber"]).where("l_partkey <> a").select("a", F.col("l_partkey").alias("b")).distinct()
 
@@ -191,6 +194,19 @@ def q_degree(t: Tables) -> DataFrame:
     return R.degree(_links(t)).withColumn("centrality", F.round("centrality", 6))
 
 
+@query()
+def q_components_all(t: Tables) -> DataFrame:
+    """Components of the links of all rows. No SQL: the recursive form is too slow on them."""
+    return R.components(_links(t, "true"))
+
+
+@query(f"""WITH e AS ({_ALL_LINKS}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a AS id, count(*) AS degree, count(DISTINCT b) AS neighbours FROM s GROUP BY a)
+SELECT id, degree, neighbours, round(neighbours / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d""")
+def q_degree_all(t: Tables) -> DataFrame:
+    """Degrees over the links of all rows."""
+    return R.degree(_links(t, "true")).withColumn("centrality", F.round("centrality", 6))
+
+
 @query("SELECT user_id, bool_and(event_id > coalesce(p, -1)) AS monotonic, count(*) AS n FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY user_id")
 def q_monotonic(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -75,3 +75,30 @@ def test_hex_dump_reaches_the_end(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("sum(ceil(octet_length(cast(text as binary)) / 16)) as n").first()
     assert plans.QUERIES["q_hex_dump"](spark, "/root/testdata/sf0.001").count() == docs["n"]
+
+
+def union_find(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {x: root(x) for x in list(up)}
+
+
+def test_components_of_all_rows(spark):
+    from siftlake import plans
+
+    groups = {}
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey", "l_quantity", "l_linenumber", "l_partkey").collect()
+    for r in rows:
+        groups.setdefault(r[:3], set()).add(r[3])
+    want = union_find([(min(g), x) for g in groups.values() for x in g if x != min(g)])
+    found = plans.QUERIES["q_components_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(want) and {r["id"]: r["component"] for r in found} == want
