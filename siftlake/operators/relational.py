@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import SharedTables
+
 
 def first_of_equal(df: DataFrame, key: Column, order: Sequence[str], id_col: str, into: str = "duplicate_of") -> DataFrame:
     """Marks each row with the id of the first row of equal key, null on that one. The first rows come from a map-side
@@ -117,31 +119,29 @@ def resolve_slots(claims: DataFrame, slot: str, order: Sequence[Column]) -> Data
     return top_k(claims, [slot], order, 1, "_rank").drop("_rank")
 
 
-def components(edges: DataFrame, checkpoint_every: int = 3, limit: int = 60) -> DataFrame:
-    """(id, component) of an undirected graph (a, b): labels fall to the smallest id reachable, with pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of an undirected graph (a, b): the smallest id of its component for each id, by alternating
+    large-star and small-star steps until no link changes.
 
-    Lineage is cut by checkpoint() into the session's shared folder."""
-    arcs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    arcs = _cut(arcs)
-    labels = _cut(arcs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
-    for _ in range(limit):
-        near = arcs.join(labels, arcs["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
-        up = labels.select(F.col("id").alias("u"), F.col("component").alias("jump"))
-        moved = low.join(up, low["c"] == up["u"], "left").select("id", F.least("c", F.coalesce("jump", "c")).alias("component"), "was")
-        moved = _cut(moved)
-        changed = moved.where("component <> was").limit(1).count()
-        labels = moved.select("id", "component")
-        if not changed:
-            break
-    return labels
+    Each step is written to the session's shared folder and read back, so neither lineage nor size estimates grow."""
+    scratch = SharedTables(edges.sparkSession, "components")
 
+    def pulled(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"))
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..sources.shared import ensure_checkpoint_dir
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e, before = scratch.save(e), None
+    while (now := state(e)) != before:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(pulled(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met = large.join(pulled(large), "u")
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
+        before, e = now, scratch.save(small.where("u <> v").distinct())
+    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import re
 from difflib import SequenceMatcher
 
-from siftlake.operators import services
+from siftlake.operators import relational, services
 from siftlake.plans import bytes_and_text
 
 
@@ -102,3 +102,10 @@ def test_components_of_all_rows(spark):
     want = union_find([(min(g), x) for g in groups.values() for x in g if x != min(g)])
     found = plans.QUERIES["q_components_all"](spark, "/root/testdata/sf0.001").collect()
     assert len(found) == len(want) and {r["id"]: r["component"] for r in found} == want
+
+
+def test_components_of_long_paths(spark):
+    path = [0, *range(200, 0, -1)]
+    edges = [*zip(path, path[1:]), (500, 501), (502, 501), (600, 600)]
+    found = relational.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in found} == union_find(edges[:-1]) and len(found) == 204
