@@ -15,7 +15,8 @@ def input_type(data: Column) -> Column:
     """Kind of an input by its first bytes: containers, partition tables and file systems, file signatures, text, else raw."""
     at = lambda offset, size: F.hex(F.substring(data, offset + 1, size))
     low = S.as_latin1(F.substring(data, 1, 65536))
-    archive = F.when(F.contains(low, F.lit("word/")), "docx").when(F.contains(low, F.lit("xl/")), "xlsx").when(F.contains(low, F.lit("ppt/")), "pptx").otherwise("zip")
+    tail = S.as_latin1(F.substring(data, -65536, 65536))
+    archive = F.when(F.contains(low, F.lit("word/")) | F.contains(tail, F.lit("word/document.xml")), "docx").when(F.contains(low, F.lit("xl/")), "xlsx").when(F.contains(low, F.lit("ppt/")), "pptx").otherwise("zip")
     return (
         F.when(F.octet_length(data) == 0, "empty")
         .when(at(0, 3) == "455646", "e01")
@@ -29,7 +30,7 @@ def input_type(data: Column) -> Column:
         .when(S.signature(data) == "zip", archive)
         .when(S.signature(data).isNotNull(), S.signature(data))
         .when((at(510, 2) == "55AA") & (F.octet_length(data) > 512), "mbr")
-        .when((S.printable_ratio(data) >= 0.85) & F.rlike(low, F.lit(S.TIMESTAMP_RE)), "log")
+        .when((S.printable_ratio(data) >= 0.85) & F.rlike(S.as_latin1(data), F.lit(S.TIMESTAMP_RE)), "log")
         .when(S.printable_ratio(data) >= 0.85, "text")
         .otherwise("raw")
     )

@@ -109,3 +109,18 @@ def test_components_of_long_paths(spark):
     edges = [*zip(path, path[1:]), (500, 501), (502, 501), (600, 600)]
     found = relational.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["id"]: r["component"] for r in found} == union_find(edges[:-1]) and len(found) == 204
+
+
+def test_input_types_of_long_inputs(spark):
+    stamp, zipped = b"2024-05-06 07:08:09", b"PK\x03\x04" + b"\x00" * 70_000
+    inputs = {
+        "log": b"a line\n" * 10_000 + stamp,
+        "text": b"a line\n" * 10_000,
+        "docx": zipped + b"word/document.xml" + b"\x00" * 60_000,
+        "zip": zipped + b"word/document.xml" + b"\x00" * 70_000,
+        "xlsx": b"PK\x03\x04xl/" + b"\x00" * 70_000,
+    }
+    short = {"docx": b"PK\x03\x04 word/document.xml", "zip": b"PK\x03\x04", "log": stamp, "empty": b""}
+    rows = [(k, bytearray(v)) for x in (inputs, short) for k, v in x.items()]
+    df = spark.createDataFrame(rows, "want string, data binary")
+    assert [r["want"] for r in df.collect()] == [r["kind"] for r in df.select(services.input_type(df["data"]).alias("kind")).collect()]
