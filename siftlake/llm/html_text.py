@@ -9,8 +9,8 @@ Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts an
 by element or by the words of their class, id and role.
 
 Defined cases: null, empty or text-free html gives an empty text; plain text without markup is one block; unclosed
-elements end with their parent or the page; a cut-off tag at the end is dropped; equal scores go to the earlier
-container. Nothing is cut by length.
+elements end with their parent or the page; quotes open a value only after '=', others are ordinary characters of the
+tag; a cut-off tag at the end is dropped; equal scores go to the earlier container. Nothing is cut by length.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*)(?:>|$)|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
 DROPPED = frozenset("head nav header footer aside form dialog menu".split()) | RAW
@@ -78,11 +78,14 @@ def parse(page: str) -> Node:
             node.children.append(page[at])
             at += 1
             continue
-        at = m.end()
+        start, at = at, m.end()
         slash, tag, attributes, text = m.groups()
-        if text is not None:
-            if text == "<" and at < end and page[at : at + 1].isalpha():
+        if tag is not None and not m.group(0).endswith(">"):  # the end of the page, or a quote that closes too far on
+            at = page.find(">", start) + 1
+            if not at:
                 break  # a tag that never ends
+            attributes = page[m.end(2) : at - 1]
+        if text is not None:
             node.children.append(html.unescape(text))
         elif tag is None:
             continue
@@ -96,8 +99,6 @@ def parse(page: str) -> Node:
             elif tag == "br":
                 node.children.append("\n")
         else:
-            if not m.group(0).endswith(">"):
-                break
             tag = tag.lower()
             order += 1
             if tag in CLOSES_P:
