@@ -1,29 +1,32 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line is dropped if an earlier line, by (doc_id, line number), equals it or lies within one edit (insertion, deletion
-or replacement of a character) of it. Two lines within one edit share a variant: one of them with at most one character
-deleted. All variants of a line are emitted as hashed keys with the line's earliest place; lines that share a variant
-are verified by edit distance, and the earlier stays.
-
-Two exact steps keep the join small. Equal lines become one row with their earliest place before anything else. Then a
-line needs variants only if some other line could be within one edit: for two such lines, whose shorter length is b,
-either the first b div 2 characters are equal or the last b div 2 are; so lines whose two halves occur in no other
-line have no partner and emit nothing. Within a variant, lines are compared with its earliest line first; only lines
-which that one does not remove, few by far, are compared with the other earlier ones.
-
-Defined cases: null text has no lines; lines without a word are kept, never compared, and stay where they are; lines
-shorter than `near_chars` are dropped only if equal (one edit would make them another word); a null doc_id sorts first;
-rows that repeat a doc_id are ordered by their text; an empty table gives no rows; extra columns are ignored.
+or replacement of a character) of it; the bound is one edit for lines of every length. Two texts within one edit share a
+variant: one of them with at most one character deleted. Variants are emitted as hashed keys and joined; lines that
+share a variant are verified by edit distance, and the earlier stays.
+
+Exact steps keep the join small. Equal lines become one row with their earliest place before anything else. For two
+lines within one edit, with b the length of the shorter, the edit lies in one part of any partition of b, and the rest
+is equal: what stands before that part counted from the left, what stands after it counted from the right. So a line is
+first cut into halves, and goes on only with a half outside of which some other line is equal; that half is cut into
+about as many parts as each has characters, and again only parts outside of which some line is equal go on. Variants are
+emitted for such parts alone, keyed together with the hash of all that surrounds them: their number and length grow with
+the square root of the line, and lines without a partner emit none. Within a variant, lines are compared with its
+earliest line first; only lines which that one does not remove, few by far, are compared with the other earlier ones.
+
+Defined cases: null text has no lines; lines without a word are kept, never compared, and stay where they are; a null
+doc_id sorts first; rows that repeat a doc_id are ordered by a hash of their text; rows equal in doc_id and text are one
+row for the order, so all of them keep or lose the same lines; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffle_partitions
 
-NEAR_CHARS = 24
+BLANKS = " \t\r\x0b\x0c"
 
 
 def _digest(*parts: Column) -> Column:
@@ -35,56 +38,80 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """place (doc_id, row, number) and the line: a row per line with a word."""
     row = F.xxhash64("text")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    chosen = chosen.where(F.length(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))) > 0)
+    chosen = chosen.where(F.octet_length(F.ltrim("line", F.lit(BLANKS))) > 0)
     return chosen.select(F.struct("doc_id", "row", "no").alias("place"), "line")
 
 
+def half_of(b: Column) -> Column:
+    """Characters of a line that stay outside its half, where the shorter line has b."""
+    return F.floor(b / 2).cast("int")
+
+
 def halves(line: Column) -> Column:
-    """Keys of which two lines within one edit share one; b stands for the length of the shorter."""
+    """Keys of what lies outside a half, of which two lines within one edit share one: by the head or the tail that is
+    equal, for this line as the shorter (0, 1) and as the longer (2, 3)."""
     n = F.length(line)
 
     def keys(b: Column) -> list[Column]:
-        m = F.floor(b / 2).cast("int")
+        m = half_of(b)
         return [F.xxhash64(b, F.lit("head"), F.substring(line, F.lit(1), m)), F.xxhash64(b, F.lit("tail"), F.right(line, m))]
 
     return F.array(*keys(n), *keys(n - 1))
 
 
 def candidates(places: DataFrame) -> DataFrame:
-    """id and place of the lines that share a half with another line. places: id, place, halves (none for short lines)."""
-    keys = places.select("id", F.explode("halves").alias("half"))
+    """id, place and the open halves (kind, half) of lines that share the outside of a half with another line."""
+    keys = places.select("id", F.posexplode("halves").alias("kind", "half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    return places.select("id", "place").join(keys.join(shared, "half").select("id").distinct(), "id", "left_semi")
+    open_ = keys.join(shared, "half").groupBy("id").agg(F.collect_list(F.struct("kind", "half")).alias("open"))
+    return places.select("id", "place").join(open_, "id")
 
 
 def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id, place and line of the given places; one pass over the documents."""
-    wanted = places.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
+    """id, place, open and line of the given places; one pass over the documents."""
+    wanted = places.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("place", "id", "open")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "wanted")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_row"))
     met = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_d"]) & (base["_row"] == wanted["_r"]))
     lines = met.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    return lines.select("w.id", "w.place", F.element_at("lines", F.col("w.place.no") + 1).alias("line")).dropDuplicates(["id"])
+    return lines.select("w.id", "w.place", "w.open", F.element_at("lines", F.col("w.place.no") + 1).alias("line")).dropDuplicates(["id"])
 
 
-def near_pairs(able: DataFrame, scratch: Scratch, near_chars: int) -> DataFrame:
-    """(late, early) ids of lines within one edit, at least one for each line that has an earlier partner."""
+def parts_of(able: DataFrame) -> DataFrame:
+    """id, place, outside and part: each open half cut into parts, with the hash of the rest of the line."""
     n = F.length("line")
-    cut = lambda i: F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))
-    variants = F.array_distinct(F.concat(F.array(F.xxhash64("line")), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(cut(i)))))
-    emitted = able.select("id", "place", F.explode(variants).alias("variant"))
-    # Variants are made and dealt out once; Spark spills the rows of a variant, which are one per distinct line.
-    same = Window.partitionBy("variant")
-    ranked = emitted.select("*", F.min(F.struct("place", "id")).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("n"))
-    met = ranked.where("n > 1").select("variant", "id", "place", F.col("first.id").alias("early"))
+    half = able.select("id", "place", "line", F.explode("open").alias("o"))
+    half = half.withColumn("b", F.when(F.col("o.kind") < 2, n).otherwise(n - 1)).withColumn("m", half_of(F.col("b")))
+    inner = F.when(F.col("o.kind") % 2 == 0, F.substring("line", F.col("m") + 1, n)).otherwise(F.left("line", n - F.col("m")))
+    half = half.select("id", "place", F.col("o.half").alias("half"), inner.alias("x"), (F.col("b") - F.col("m")).alias("size"))
+    k = F.greatest(F.ceil(F.sqrt("size")), F.lit(1)).cast("int")
+    begin, end = (F.floor((F.col("i") + j) * F.col("size") / F.col("k")).cast("int") for j in (0, 1))
+    cut = half.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    after = F.col("size") - end
+    outside = F.xxhash64("half", "i", F.left("x", begin), F.right("x", after))
+    return cut.select("id", "place", outside.alias("outside"), F.substring("x", begin + 1, F.length("x") - after - begin).alias("part"))
+
+
+def near_pairs(able: DataFrame, scratch: Scratch) -> DataFrame:
+    """(late, early) ids of lines within one edit, at least one for each line that has an earlier partner."""
+    parts = scratch.save(parts_of(able), "parts")
+    shared = parts.groupBy("outside").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("outside")
+    n = F.length("part")
+    without = lambda i: F.concat(F.left("part", i), F.substring("part", i + 2, n))
+    every = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64("outside", without(i)))).otherwise(F.array().cast("array<long>"))
+    variants = F.array_distinct(F.concat(F.array(F.xxhash64("outside", "part")), every))
+    emitted = scratch.save(parts.join(shared, "outside").select("id", "place", F.explode(variants).alias("variant")), "emitted")
+    scratch.drop("parts")
+    groups = emitted.groupBy("variant").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = emitted.join(groups, "variant").select("variant", "id", "place", F.col("first.id").alias("early"))
     met = scratch.save(met, "met", sweep=True)
+    scratch.drop("emitted")
     text = able.select("id", "line")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = text.select(F.col("id").alias("late"), F.col("line").alias("x")), text.select(F.col("id").alias("early"), F.col("line").alias("y"))
         found = pairs.join(a, "late").join(b, "early")
-        longer = F.greatest(F.length("x"), F.length("y")) >= near_chars
-        return found.where(longer & (F.levenshtein("x", "y", 1) >= 0)).select("late", "early")
+        return found.where(F.levenshtein("x", "y", 1) >= 0).select("late", "early")
 
     first = met.where(F.col("id") != F.col("early")).select(F.col("id").alias("late"), "early").distinct()
     hit = scratch.save(verified(first), "hit")
@@ -96,17 +123,17 @@ def near_pairs(able: DataFrame, scratch: Scratch, near_chars: int) -> DataFrame:
     return hit.unionByName(verified(rest.join(first, ["late", "early"], "left_anti")))
 
 
-def judge_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
+def judge_lines(docs: DataFrame) -> DataFrame:
     """place, and why the line goes: 'equal' or 'near'. Kept lines have no row.
 
     Tables between the steps hold ids, places and hashes; texts travel only for lines that have a candidate."""
     scratch = Scratch(docs.sparkSession, "lines")
-    long = F.length("line") >= near_chars - 1
-    ids = lines_of(docs).select(_digest(F.col("line")).alias("id"), "place", F.when(long, F.array_distinct(halves(F.col("line")))).alias("halves"))
+    ids = lines_of(docs).select(_digest(F.col("line")).alias("id"), "place", halves(F.col("line")).alias("halves"))
     places = scratch.save(ids.groupBy("id").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "places", sweep=True)
     wanted = scratch.save(candidates(places), "wanted", sweep=True)
-    able = scratch.save(texts_at(docs, wanted), "able", sweep=True)
-    near = scratch.save(near_pairs(able, scratch, near_chars).select(F.col("late").alias("id")).distinct(), "near")
+    able = texts_at(docs, wanted).repartition(shuffle_partitions(docs.sparkSession), "id")  # every line is cut up next, so they are spread
+    able = scratch.save(able, "able", sweep=True)
+    near = scratch.save(near_pairs(able, scratch).select(F.col("late").alias("id")).distinct(), "near")
     for table in ("able", "met", "wanted"):
         scratch.drop(table)
     fate = places.select("id", F.col("place").alias("first")).join(near.withColumn("near", F.lit(True)), "id", "left")
@@ -116,9 +143,9 @@ def judge_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
     return scratch.save(gone, "gone", sweep=True)
 
 
-def dedup_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near and kept_text: the text without the dropped lines; a row per row of docs."""
-    gone = judge_lines(docs, near_chars=near_chars)
+    gone = judge_lines(docs)
     by_doc = gone.groupBy("place.doc_id", "place.row").agg(
         F.collect_set("place.no").alias("gone"), F.sum((F.col("why") == "equal").cast("long")).alias("eq"), F.sum((F.col("why") == "near").cast("long")).alias("nr")
     )
@@ -141,8 +168,9 @@ def digest_lines(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-#: The same in DuckDB: candidates by the two halves, which lose no pair within one edit.
-SQL = f"""
+#: The same in DuckDB: candidates by the two halves, which lose no pair within one edit. Its own distance counts bytes, of
+#: which a character has four at most, so the edit is looked for character by character: equal up to it, equal after it.
+SQL = """
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents
 ), w AS (
@@ -151,10 +179,11 @@ WITH l AS (
   SELECT line, min(struct_pack(doc_id := doc_id, no := no)) AS place, length(line) AS n FROM w GROUP BY line
 ), k AS (
   SELECT line, place, n, b, unnest(['h' || b || substring(line, 1, b // 2), 't' || b || CASE WHEN b // 2 = 0 THEN '' ELSE right(line, b // 2) END]) AS half
-  FROM (SELECT line, place, n, unnest([n, n - 1]) AS b FROM d WHERE n >= {NEAR_CHARS - 1})
+  FROM (SELECT line, place, n, unnest([n, n - 1]) AS b FROM d)
 ), near AS (
-  SELECT DISTINCT x.line FROM k x JOIN k y ON x.half = y.half AND y.place < x.place AND abs(x.n - y.n) <= 1 AND greatest(x.n, y.n) >= {NEAR_CHARS}
-  WHERE levenshtein(x.line, y.line) <= 1
+  SELECT DISTINCT x.line FROM k x JOIN k y ON x.half = y.half AND y.place < x.place AND abs(x.n - y.n) <= 1
+  WHERE levenshtein(x.line, y.line) <= 4 AND len(list_filter(range(greatest(x.n, y.n)), lambda i: left(x.line, i) = left(y.line, i)
+    AND substring(x.line, x.n - (greatest(x.n, y.n) - 1 - i) + 1) = substring(y.line, y.n - (greatest(x.n, y.n) - 1 - i) + 1))) > 0
 ), f AS (
   SELECT w.doc_id, w.no, w.line, struct_pack(doc_id := w.doc_id, no := w.no) <> d.place AS eq, near.line IS NOT NULL AS nr
   FROM w JOIN d ON w.line = d.line LEFT JOIN near ON near.line = w.line

@@ -134,7 +134,7 @@ def test_lines_equal_brute_force(spark):
             variants.append("".join(y))
             if rng.random() < 0.4:
                 variants.append("".join(y)[: rng.randrange(20, len(y))])
-    pool = lines + variants + ["short", "shor", "", "  ", "\t"]
+    pool = lines + variants + ["short", "shor", "sort", "a", "b", "ab", "é", "", "  ", "\t"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 7)))) for i in range(60)] + [(90, None), (91, ""), (None, lines[0])]
     first, near, want = {}, {}, {}
     order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
@@ -143,7 +143,7 @@ def test_lines_equal_brute_force(spark):
             if x.strip(" \t\r\v\f"):
                 first.setdefault(x, (-1 if i is None else i, no))
     for x, p in first.items():
-        near[x] = any(q < p and abs(len(x) - len(y)) <= 1 and max(len(x), len(y)) >= line_dedup.NEAR_CHARS and edit_distance(x, y) <= 1 for y, q in first.items())
+        near[x] = any(q < p and abs(len(x) - len(y)) <= 1 and edit_distance(x, y) <= 1 for y, q in first.items())
     for i, t in order:
         kept, eq, nr = [], 0, 0
         parts = t.split("\n") if t is not None else []
