@@ -60,6 +60,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that op5_mixing meets, by source."""
+    return mixing.targets_of(read_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html, mix_targets)}
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL, "mix_targets": mixing.TARGETS_SQL}
