@@ -8,8 +8,11 @@ A text is scored passage by passage (every run of `width` words) and takes the h
 a long text is not averaged away. Labels belong to whole texts, so training starts from whole texts and goes on with
 the worst passage of each toxic text against passages of harmless ones.
 
-Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id), of
-these the ones with at most `max_passages` passages; scoring covers every word of every text.
+Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id) of
+any length, and of each at most `max_passages` passages: at first evenly spread ones; then a second fit takes, of every
+longer text, the passages that the first model finds worst among all of that text. Scoring covers every word of every
+text. A text's score is the maximum over its passages, so it rises with the number of passages; the threshold holds for
+the whole text, whatever its length.
 
 Defined cases: null and empty text have one passage without words and get the score of the bias alone; labels without a
 document or null labels are not used; without both classes the score is the share of toxic labels (0 without labels);
@@ -28,21 +31,52 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import mix64, text_bytes
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_~"
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6)
 PAD = 8  # empty subwords that every word has besides its own, so that a short word's few n-grams do not weigh more
 LIMIT = 500_000
-
-
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word: itself and its character n-grams of the lengths in GRAMS."""
-    bare = word.strip(EDGE) or word
-    text = f"<{bare.decode('utf-8', 'replace')}>"
-    grams = {text, *(text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1))}
-    return sorted({xxhash.xxh32_intdigest(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words one after another, and how many each has: the word itself and its character n-grams of the
+    lengths in GRAMS, with marks for its begin and end."""
+    texts = [(w.strip(EDGE) or w).decode("utf-8", "replace") for w in words]
+    sizes = np.array(list(map(len, texts)), np.int64) + 2
+    if not len(sizes):
+        return np.empty(0, np.int64), sizes
+    chars = np.frombuffer(("<" + "><".join(texts) + ">").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    place = (np.arange(len(chars)) - first[owner]).astype(np.uint64)
+    found = [mix64(np.add.reduceat(mix64(chars * _STEP + place), first))]
+    owners = [np.arange(len(sizes))]
+    mixed, rolled = mix64(chars + np.uint64(1)), None
+    for n in range(1, max(GRAMS) + 1):
+        rolled = mixed.copy() if rolled is None else rolled[:-1] * _STEP + mixed[n - 1 :]
+        if n in GRAMS:
+            inside = owner[: len(rolled)] == owner[n - 1 :]
+            found.append(mix64(rolled[inside] + np.uint64(n)))
+            owners.append(owner[: len(rolled)][inside])
+        if len(rolled) <= 1:
+            break
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owners, minlength=len(sizes))
+
+
+_KNOWN: dict[int, dict[bytes, float]] = {}
+
+
+def known_words(model: int) -> dict[bytes, float]:
+    """The words whose value this Python worker remembers from task to task, of the model used last."""
+    if model not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[model] = {}
+    return _KNOWN[model]
 
 
 @dataclass
@@ -53,29 +87,47 @@ class SubwordSoftmax:
     bias: float
     width: int
 
-    def scorer(self):
-        known: dict[bytes, float] = {}
-        pull, bias, width = self.pull, self.bias, self.width
-
-        def value(word: bytes) -> float:
-            if len(known) >= LIMIT:
-                known.clear()
-            known[word] = z = float(pull[found := subwords(word)].sum() / (len(found) + PAD))
-            return z
-
-        def score(text: bytes) -> float:
-            words = text.lower().split()
-            if not words:
-                return float(1 / (1 + np.exp(-bias)))
-            get = known.get
-            z = [get(w) for w in words]
-            if None in z:
-                z = [value(w) if v is None else v for w, v in zip(words, z)]
-            sums = np.concatenate([[0.0], np.cumsum(z)])
-            k = min(width, len(words))
-            return float(1 / (1 + np.exp(-np.clip((sums[k:] - sums[:-k]).max() / k + bias, -40, 40))))
-
-        return score
+    def name(self) -> int:
+        return xxhash.xxh3_64_intdigest(self.pull.tobytes() + np.array([self.bias, self.width]).tobytes())
+
+    def values(self, words: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+        """Log-odds that each word adds to its passage; remembers words, and forgets everything when there are too many."""
+        if len(known) >= LIMIT:
+            known.clear()
+        new = list(set(words).difference(known))
+        if new:
+            flat, n = subwords(new)
+            z = np.bincount(np.repeat(np.arange(len(n)), n), self.pull[flat], len(n)) / (n + PAD)
+            known.update(zip(new, z.tolist()))
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+
+    def passages(self, words: list[bytes], sizes: np.ndarray, known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of every passage of texts given as their words one after another, and how many passages each has."""
+        z, k = self.values(words, known), self.width
+        n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+        first = np.cumsum(sizes) - sizes
+        starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        run = np.zeros(len(z))  # added up place by place: equal texts have equal sums wherever they stand
+        for i in range(k):
+            run[: len(z) - i] += z[i:]
+        run = run / k
+        for i in np.flatnonzero((sizes > 0) & (sizes < k)).tolist():
+            run[first[i]] = sum(z[first[i] : first[i] + sizes[i]].tolist()) / sizes[i]
+        return run[starts] + self.bias, n
+
+    def score(self, texts: list[bytes], known: dict[bytes, float] | None = None) -> np.ndarray:
+        words: list[bytes] = []
+        sizes = []
+        for text in texts:
+            own = text.lower().split()
+            sizes.append(len(own))
+            words += own
+        z, n = self.passages(words, np.array(sizes, np.int64), {} if known is None else known)
+        worst = np.full(len(texts), self.bias)
+        has = np.flatnonzero(n)
+        if len(has):
+            worst[has] = np.maximum.reduceat(z, (np.cumsum(n) - n)[has])
+        return 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
 
 
 class _Bags:
@@ -84,13 +136,11 @@ class _Bags:
     def __init__(self, passages: list[list[bytes]]):
         words = sorted({w for p in passages for w in p})
         number = {w: i for i, w in enumerate(words)}
-        grams = [subwords(w) for w in words]
         self.n_words = np.array(list(map(len, passages)), np.int64)
         self.word_at = np.cumsum(self.n_words) - self.n_words
         self.words = np.fromiter((number[w] for p in passages for w in p), np.int64, int(self.n_words.sum()))
-        self.n_grams = np.array(list(map(len, grams)), np.int64)
+        self.grams, self.n_grams = subwords(words)
         self.gram_at = np.cumsum(self.n_grams) - self.n_grams
-        self.grams = np.fromiter((g for x in grams for g in x), np.int64, int(self.n_grams.sum()))
 
     @staticmethod
     def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -202,43 +252,55 @@ def fit(
     return SubwordSoftmax(net.table @ (net.soft[1] - net.soft[0]), float(net.bias[1] - net.bias[0]), width)
 
 
-def passages_of(text: bytes, width: int) -> list[list[bytes]]:
+def chosen_passages(text: bytes, width: int, most: int, model: SubwordSoftmax | None) -> list[list[bytes]]:
+    """The passages of a text that train: all, or of more than `most` the ones that the model finds worst, or evenly
+    spread ones where there is no model. Texts without words have none and train nothing."""
     words = text.lower().split()
-    return [words[i : i + width] for i in range(0, len(words), width)]  # texts without words have none and train nothing
+    starts = np.arange(0, len(words), width)
+    if len(starts) > most and model is None:
+        starts = starts[np.arange(most) * len(starts) // most]
+    elif len(starts) > most:
+        z, _ = model.passages(words, np.array([len(words)]), known_words(model.name()))
+        starts = np.sort(np.argsort(-z[np.minimum(starts, len(z) - 1)], kind="stable")[:most] * width)
+    return [words[i : i + width] for i in starts.tolist()]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, max_passages: int = 80, width: int = 6, **options) -> SubwordSoftmax:
     """Fits on at most max_rows texts per class of the labelled rows that `use` (a condition on doc_id) admits."""
-    known = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     part = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = part(0).unionByName(part(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * max_rows at most
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
-                found = passages_of(text, width)
-                if len(found) > max_passages:  # a part of a toxic text may be harmless, so texts train whole or not at all
-                    continue
-                out += [(doc_id, y, b" ".join(p)) for p in found]
-            if out:
-                ids, ys, texts = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(texts, pa.binary())], ["doc_id", "label", "passage"])
-
-    table = rows.select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, label int, passage binary").toPandas()
-    table = table.sort_values(["doc_id", "label", "passage"], kind="stable")
-    text_of, ids = pd.factorize(table["doc_id"])
-    toxic = table.groupby("doc_id")["label"].max().reindex(ids).to_numpy() if len(table) else np.empty(0)
-    return fit([bytes(p).split() for p in table["passage"]], text_of, toxic, width=width, **options)
+    def sample(model: SubwordSoftmax | None) -> tuple[SubwordSoftmax, bool]:
+        """A model fitted on the passages that the given one chooses, and whether any text had more."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                    more = len(text.split()) > max_passages * width
+                    out += [(doc_id, y, b" ".join(p), more) for p in chosen_passages(text, width, max_passages, model)]
+                if out:
+                    ids, ys, texts, more = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(texts, pa.binary()), pa.array(more)], ["doc_id", "label", "passage", "more"])
+
+        table = rows.select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, label int, passage binary, more boolean").toPandas()
+        table = table.sort_values(["doc_id", "label", "passage"], kind="stable")
+        text_of, ids = pd.factorize(table["doc_id"])
+        toxic = table.groupby("doc_id")["label"].max().reindex(ids).to_numpy() if len(table) else np.empty(0)
+        return fit([bytes(p).split() for p in table["passage"]], text_of, toxic, width=width, **options), bool(table["more"].any())
+
+    model, more = sample(None)
+    return sample(model)[0] if more else model
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
     """doc_id and score of every row of docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        known = known_words(model.name())
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(scorer, batch.column(1).to_pylist())), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist(), known))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(rows, "doc_id long, score double")
