@@ -8,19 +8,22 @@ Documents are dealt into blocks of about `block_bytes` by hash of doc_id. Then,
 1. Anchors. Each window names one of its `gram`-word phrases, the one whose hash is least (the leftmost of equals), so
    equal windows name equal phrases, and neighbouring windows mostly the same one. Each block sends its distinct
    anchors once; an anchor recurs if it comes from two blocks or from two documents of one.
-2. Confirmed passages. Each block sends the distinct windows that have a recurring anchor, with their smallest doc_id
-   in the block; joined by window, that gives the smallest doc_id of all, which goes back to the blocks where it
-   removes something.
+2. Confirmed passages. Each block sends the distinct windows that have a recurring anchor, as 128 bits of their words,
+   with their smallest doc_id in the block; joined by window, that gives the smallest doc_id of all, which goes back to
+   the blocks where it removes something. Anchors are 64 bits: a false one only sends a window in vain. Windows decide,
+   and two different ones among 10^13 have equal 128 bits with a chance of 10^-13.
 3. Occurrences. Each block compiles its shard of the phrase automaton (Aho-Corasick over words) from the anchors of its
    confirmed passages and streams its documents through it; the windows around each hit that are confirmed for a
    smaller doc_id are removed.
 
-What a block sends is packed by key into `shards` groups, each distinct key once, so a phrase that stands in a third of
-all documents costs one entry per block, and no task sees more than its share of keys. Nothing is collected, and the
-blocks' exchange is made once and read three times.
+What a block sends is packed by key into shards, one for each `shard_bytes` of text, each distinct key once, so a phrase
+that stands in a third of all documents costs one entry per block, and no task sees more than its share of keys, however
+large the input. Nothing is collected, and the blocks' exchange is made once and read three times. Texts too short for
+a window are answered at once and go to no block.
 
-Defined cases: null text has no words; a text with fewer than `width` words loses none; a null doc_id is smaller than all
-others; rows with equal doc_id do not remove anything from each other; a text of any length is one block's work as a
+Defined cases: null text has no words; a text with fewer than `width` words loses none; a null doc_id counts as the
+smallest long; rows with equal doc_id do not remove anything from each other, whatever their texts; blocks are dealt by
+doc_id and text, so rows that share a doc_id only do not meet in one task; a text of any length is one block's work as a
 whole; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -31,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, shuffle_partitions, text_bytes, window_hashes, worker_words
+from .common import WORD_RE, WordHash, hash_words, mix64, text_bytes, window_hashes, worker_words
 
 WIDTH, GRAM = 13, 5
-NULL_ID = -(1 << 62)
+NULL_ID = -(1 << 63)
 _PACKED = "shard int, block int, data binary"
 _FLAG = np.uint64(1)
+_SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -61,8 +65,9 @@ class Block:
     def __init__(self, table: pa.Table, width: int, cache: WordHash):
         ids = table.column("doc_id").to_pylist()
         texts = table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+        self.names = [ids[i] for i in order]
+        self.ids = np.array([NULL_ID if i is None else i for i in self.names], np.int64)
         self.words = [texts[i].split() for i in order]
         self.sizes = np.array(list(map(len, self.words)), np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -79,6 +84,12 @@ class Block:
         n = np.maximum(self.sizes - self.width + 1, 0)
         return np.repeat(self.ends - self.sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the window at each start."""
+        if not len(starts):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return window_hashes(self.hashes, self.width)[starts], window_hashes(mix64(self.hashes ^ _SECOND), self.width)[starts]
+
     def anchors(self, starts: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """Each window's anchor: where it begins, and its hash with the lowest bit cleared."""
         g = window_hashes(self.hashes, gram)
@@ -98,8 +109,9 @@ def _by_shard(block: int, shards: int, keys: np.ndarray, *columns: np.ndarray) -
     """Packed rows of _PACKED; keys are in rising order within each."""
     shard = (keys >> np.uint64(20)) % np.uint64(shards)
     order = np.lexsort((keys, shard))
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = [(s, [c[order[a:b]] for c in (keys, *columns)]) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    named, first = np.unique(shard[order], return_index=True)
+    cut = [*first.tolist(), len(order)]
+    rows = [(s, [c[order[a:b]] for c in (keys, *columns)]) for s, a, b in zip(named.tolist(), cut, cut[1:])]
     return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "data": pa.array([pack(*c) for _, c in rows], pa.binary())})
 
 
@@ -139,17 +151,15 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block_bytes: int = 8 << 20, shards: int | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text, the kept words joined by one space: a row per row of docs."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(8, -(-total // block_bytes))
-    shards = shards or max(16, 2 * shuffle_partitions(spark))
-    rows = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        text_bytes().alias("text"),
-    )
+    blocks, shards = max(8, -(-total // block_bytes)), max(16, -(-total // shard_bytes))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * width - 1
+    few = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD_RE})"))
+    brief = given.where(short).select("doc_id", F.size(few).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(few, " ").alias("kept_text"))
+    rows = given.where(~short).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", text_bytes().alias("text"))
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         b = Block(table, width, worker_words())
@@ -158,7 +168,7 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
         anchor, doc = anchor[first], b.ids[b.docs_at(at)] if len(at) else np.empty(0, np.int64)
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
-        new = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]) != 0) if len(anchor) else np.empty(0, np.int64)
+        new = _changes(anchor)
         last = np.append(new[1:], len(anchor)) - 1
         several = (doc[new] != doc[last]).astype(np.uint64) if len(new) else np.empty(0, np.uint64)
         return _by_shard(key[0].as_py(), shards, anchor[new] | several)
@@ -178,34 +188,32 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
         starts = b.starts()
         _, anchor = b.anchors(starts, gram)
         starts = starts[_within(anchor, again)]
-        window = window_hashes(b.hashes, width)[starts] if len(starts) else np.empty(0, np.uint64)
+        window, rest = b.windows(starts)
         doc = b.ids[b.docs_at(starts)] if len(starts) else np.empty(0, np.int64)
-        order = np.lexsort((doc, window))
-        window, doc, starts = window[order], doc[order], starts[order]
-        new = np.flatnonzero(np.diff(window, prepend=~window[:1]) != 0) if len(window) else np.empty(0, np.int64)
+        order = np.lexsort((doc, rest, window))
+        window, rest, doc, starts = window[order], rest[order], doc[order], starts[order]
+        new = _changes(window, rest)
         last = np.append(new[1:], len(window)) - 1
-        several = (doc[new] != doc[last]).astype(np.int64) if len(new) else np.empty(0, np.int64)
-        return _by_shard(key[0].as_py(), shards, window[new], (doc[new] << 1) | several, starts[new].astype(np.uint32))
+        several = (doc[new] != doc[last]).astype(np.uint8) if len(new) else np.empty(0, np.uint8)
+        return _by_shard(key[0].as_py(), shards, window[new], rest[new], doc[new], starts[new].astype(np.uint32), several)
 
     def confirm(table: pa.Table) -> pa.Table:
-        window, mark, start, block = _joined(table, np.uint64, np.int64, np.uint32)
-        _, group = np.unique(window, return_inverse=True)
-        doc = mark >> 1
-        least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc)
-        hit = (least[group] < doc) | (mark & 1 == 1)
-        return _to_blocks(block[hit], window[hit], least[group][hit], start[hit])
+        window, rest, doc, start, several, block = _joined(table, np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+        order = np.lexsort((doc, rest, window))
+        window, rest, doc, start, several, block = (c[order] for c in (window, rest, doc, start, several, block))
+        new = _changes(window, rest)
+        least = np.repeat(doc[new], np.diff(np.append(new, len(window))))
+        hit = (least < doc) | (several == 1)
+        return _to_blocks(block[hit], window[hit], rest[hit], least[hit], start[hit])
 
     def remove(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         import ahocorasick
 
         b = Block(table, width, worker_words())
-        parts = [unpack(d, np.uint64, np.int64, np.uint32) for d in known.column("data").to_pylist()]
+        parts = [unpack(d, np.uint64, np.uint64, np.int64, np.uint32) for d in known.column("data").to_pylist()]
         gone = np.zeros(len(b.hashes), bool)
         if parts:
-            window, least, start = (np.concatenate(c) for c in zip(*parts))
-            order = np.argsort(window)
-            window, least = window[order], least[order]
+            window, rest, least, start = (np.concatenate(c) for c in zip(*parts))
             at, _ = b.anchors(start.astype(np.int64), gram)
             at = np.unique(at)
             letters, digits = spelled(b.hashes)
@@ -223,9 +231,16 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
                 around[place[place >= 0]] = True
             starts = b.starts()
             starts = starts[around[starts]]
-            found = window_hashes(b.hashes, width)[starts]
-            slot = np.minimum(np.searchsorted(window, found), len(window) - 1)
-            hit = (window[slot] == found) & (least[slot] < b.ids[b.docs_at(starts)])
+            found, other = b.windows(starts)
+            # The confirmed windows and the met ones in one order: equal ones are neighbours, the confirmed one first.
+            n = len(window)
+            order = np.lexsort((np.arange(n + len(found)), np.concatenate([rest, other]), np.concatenate([window, found])))
+            new = _changes(np.concatenate([window, found])[order], np.concatenate([rest, other])[order])
+            head = np.empty(len(order), np.int64)
+            head[order] = np.repeat(order[new], np.diff(np.append(new, len(order))))
+            head = head[n:]
+            hit = head < n
+            hit[hit] = least[head[hit]] < b.ids[b.docs_at(starts[hit])]
             gone = covered(len(b.hashes), starts[hit], width)
         kept, removed = [], []
         for words, a, z in zip(b.words, (b.ends - b.sizes).tolist(), b.ends.tolist()):
@@ -233,15 +248,22 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
             n = int(out.sum())
             removed.append(n)
             kept.append(b" ".join([w for w, o in zip(words, out.tolist()) if not o]) if n else b" ".join(words))
-        ids = [None if i == NULL_ID else i for i in b.ids.tolist()]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(b.sizes), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(b.names, pa.int64()), "n_words": pa.array(b.sizes), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     by_block = rows.groupBy("block")
     anchors = by_block.applyInArrow(send_anchors, _PACKED).groupBy("shard").applyInArrow(recurring, "block int, data binary")
     windows = by_block.cogroup(anchors.groupBy("block")).applyInArrow(send_windows, _PACKED)
     passages = windows.groupBy("shard").applyInArrow(confirm, "block int, data binary")
     kept = by_block.cogroup(passages.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
-    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text")).unionByName(brief)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before; the first row does."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    other = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    return np.flatnonzero(np.concatenate([[True], other]))
 
 
 def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -1,6 +1,5 @@
 """Corpus operators against brute force, on small rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
-import hashlib
 import math
 import random
 import zlib
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import compression_rules, decontamination, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
+from siftlake.llm import compression_rules, decontamination, html_text, line_dedup, minhash, passage_dedup, quality_gam, token_output, toxicity
 
 VOCAB = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -88,7 +87,7 @@ def test_band_keys_and_estimate(spark):
 
 
 def test_passages_equal_brute_force(docs, texts, empty):
-    smallest = -(1 << 62)
+    smallest = -(1 << 63)
     first = {}
     rows = sorted((smallest if i is None else i, t or "") for i, t in texts)
     for i, t in rows:
@@ -167,7 +166,7 @@ def test_leaks_within_budget_only(spark, docs, empty):
     items = [(i, " ".join(rng.choice(VOCAB) for _ in range(30))) for i in range(5)] + [(5, None), (6, " ,. "), (7, "q")]
     rows = []
     for i in range(5):
-        text = decontamination.normalise(items[i][1])
+        text = decontamination.normalise(items[i][1]).strip()
         budget = int(len(text) * decontamination.ERROR_RATE)
         for k, errors in enumerate((0, budget, 3 * budget)):
             y = list(text)
@@ -195,38 +194,6 @@ def test_bit_parallel_distance():
         assert decontamination.Item(0, item, 0.1).distance(window) == best
 
 
-def water_level(sizes, weights, share, cap):
-    want, full = {}, set()
-    while True:
-        left = share * sum(sizes.values()) - sum(cap * sizes[s] for s in full)
-        total = sum(weights[s] for s in sizes if s not in full)
-        want = {s: cap * sizes[s] if s in full else left * weights[s] / total for s in sizes}
-        over = {s for s in sizes if s not in full and want[s] > cap * sizes[s]}
-        if not over:
-            return want
-        full |= over
-
-
-def test_mixture_meets_targets(docs, texts, empty):
-    rows = mixing.mix_plan(docs).collect()
-    sizes = {}
-    for r in rows:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
-    order = sorted(sizes, key=lambda s: (s is None, s))
-    want = water_level(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5, 2.0)
-    assert len(rows) == len(texts)
-    for s in order:
-        own = [r for r in rows if r["source"] == s]
-        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == sizes[s] and r["copies"] <= 2 for r in own)
-        taken = sum(r["copies"] * r["size"] for r in own)
-        assert taken <= want[s] + 1e-6 and want[s] - taken <= max(r["size"] for r in own)
-    again = mixing.mix_plan(docs).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
-    assert mixing.mix_plan(empty).count() == 0
-
-
 def test_rules_count_like_plain_python(docs, texts, empty):
     got = {r["doc_id"]: r for r in compression_rules.compression_rules(docs).collect()}
     for i, t in texts:
@@ -332,7 +299,3 @@ def test_html_main_text(spark):
     got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[2]["n_chars"] == 0 and got[3]["n_chars"] == len(" ".join(("long, text " * 50_000).split()))
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_hashes_are_stable():
-    assert hashlib.sha256(minhash.factors_of(4).tobytes()).hexdigest()[:8] == hashlib.sha256(minhash.factors_of(4).tobytes()).hexdigest()[:8]
