@@ -7,11 +7,13 @@ read alone for a few bytes per document. Row groups and pages are kept small and
 reader that wants a range of doc_id opens only the pages that hold it.
 
 Defined cases: null or empty text gives only the end id; a null doc_id sorts first; repeated ids keep a row each; an
-empty table gives no rows; extra columns are ignored. A text is encoded as a whole whatever its length.
+empty table gives no rows; extra columns are ignored. A text is encoded as a whole whatever its length. Strings of the
+tokenizer's special tokens in a text become these tokens, as the library has it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -27,6 +29,20 @@ from .common import Scratch, public_tokenizer, shuffle_partitions, text_bytes
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
+#: How a tokenizer file must cut texts for chunks to be encoded one by one: white space is one space, upper case is lower
+#: case, and runs of letters, single digits and runs of other characters are pieces of their own.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class ChunkEncoder(dict):
     """Numbers of the chunks between white space, and the token ids of each; forgets everything when it has grown large.
 
@@ -35,7 +51,8 @@ class ChunkEncoder(dict):
     ids of the two. Texts are therefore lower-cased, and a full stop or comma that ends a chunk is set apart as a marked
     chunk of its own, which holds wherever the character before it is a letter or a digit; the few texts where it is not
     are cut at white space only. Plain Latin letters go straight to the library's model; everything else goes through
-    the whole library pipeline.
+    the whole library pipeline. Texts with the string of a special token are given to the library as a whole, and so are
+    all texts if the tokenizer's file does not cut as CHUNKED says.
     """
 
     LIMIT = 700_000
@@ -48,8 +65,12 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.chunked = all(spec.get(k) == v for k, v in CHUNKED.items()) and spec["model"].get("type") == "BPE"
+        self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", ())]
+        self.end_id: int | None = None
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.shown = {**{b: chr(b) for b in visible}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
@@ -93,12 +114,30 @@ class ChunkEncoder(dict):
                 text = text.replace(end, b" \xff" + end)
         return text.split()
 
-    def encode(self, texts: list[bytes], end_id: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def has_special(self, low: bytes) -> bool:
+        return any(s in low for s in self.special)
+
+    def whole(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Ids of each text from the library alone, with the end id."""
+        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array([*x.ids, end_id], np.int32) for x in found]
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each followed by the end id, and how many each text has."""
+        special = [i for i, t in enumerate(texts) if not self.chunked or self.has_special(t.lower())]
+        if not special:
+            return self.by_chunks(texts, end_id)
+        rest = sorted(set(range(len(texts))).difference(special))
+        flat, sizes = self.by_chunks([texts[i] for i in rest], end_id)
+        parts = dict(zip(rest, np.split(flat, np.cumsum(sizes)[:-1]))) | dict(zip(special, self.whole([texts[i] for i in special], end_id)))
+        return np.concatenate([parts[i] for i in range(len(texts))]), np.array([len(parts[i]) for i in range(len(texts))], np.int64)
+
+    def by_chunks(self, texts: list[bytes], end_id: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.LIMIT or self.end_id != end_id:
             self.reset()
+            self.end_id = end_id
         if self.END not in self:
             self.put(self.END, [end_id], 0)
         every: list[bytes] = []
@@ -121,7 +160,7 @@ class ChunkEncoder(dict):
             return flat, sizes
         parts = np.split(flat, np.cumsum(sizes)[:-1])
         for i in np.unique(np.searchsorted(last, wrong, side="right")).tolist():
-            parts[i], size = self.encode([texts[i]], end_id, plain=True)
+            parts[i], size = self.by_chunks([texts[i]], end_id, plain=True)
             sizes[i] = size[0]
         return np.concatenate(parts), sizes
 
