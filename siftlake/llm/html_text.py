@@ -6,7 +6,10 @@ more; a container's points are discounted by the share of its text that is in li
 its siblings that score well enough or read like prose are kept, and their blocks are given in page order.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are dropped before scoring,
-by element or by the words of their class, id and role.
+by element, by role, or by name: a class or id says so with its first or last word ("sidebar-left", "post-comments"),
+not with one in between ("story-related-stats"), and not where it only tells what the page has ("no-sidebar",
+"has-sidebar"). An element with such a name that holds the page's main heading or <main> and most of its text is a
+layout container and stays.
 
 Defined cases: null, empty or text-free html gives an empty text; plain text without markup is one block; unclosed
 elements end with their parent or the page; quotes open a value only after '=', others are ordinary characters of the
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*)(?:>|$)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>/\"']+|[\"'])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
 DROPPED = frozenset("head nav header footer aside form dialog menu".split()) | RAW
@@ -43,16 +46,27 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article body content entry main post story text hentry blog column".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-SPLIT_WORDS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+TELLING = frozenset("no not has have with without is hide hides show shows toggle wp".split())
+SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
+
+def words_of(name: str) -> list[str]:
+    """The words of one class or id."""
+    return [w.lower() for w in SPLIT_WORDS.split(name) if w]
+
+
+def says_bad(words: list[str]) -> bool:
+    """Whether a class or id names something besides the article."""
+    return bool(words) and words[0] not in TELLING and (words[0] in BAD_WORDS or words[-1] in BAD_WORDS)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "dropped", "score", "order")
+    __slots__ = ("tag", "parent", "children", "names", "dropped", "named", "score", "order")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str, order: int):
         self.tag, self.parent, self.children, self.score, self.order = tag, parent, [], 0.0, order
         self.names: frozenset[str] = frozenset()
-        self.dropped = tag in DROPPED
+        self.dropped, self.named = tag in DROPPED, False
         if attributes and not self.dropped:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
@@ -62,10 +76,28 @@ class Node:
                     self.dropped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
                 elif name == "role":
                     self.dropped |= value.lower() in BAD_ROLES
-                else:
-                    self.names |= frozenset(w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w)
-            if self.names & BAD_WORDS and tag not in ("html", "body", "article", "main"):
-                self.dropped = True
+                elif name in ("class", "id"):
+                    found = [words_of(x) for x in html.unescape(value).split()]
+                    self.names |= frozenset(w for x in found for w in x)
+                    self.named |= tag not in ("html", "body", "article", "main") and any(map(says_bad, found))
+
+
+def drop_named(root: Node) -> None:
+    """Drops the elements that their names tell apart, but for layout containers."""
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
+    size: dict[int, int] = {}
+    heads: dict[int, bool] = {}
+    for x in reversed(order):
+        inner = [c for c in x.children if isinstance(c, Node) and not c.dropped]
+        size[id(x)] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(size[id(c)] for c in inner)
+        heads[id(x)] = x.tag in ("h1", "main") or any(heads[id(c)] for c in inner)
+    for x in order:
+        x.dropped |= x.named and not (heads[id(x)] and 2 * size[id(x)] > size[id(root)])
 
 
 def parse(page: str) -> Node:
@@ -188,6 +220,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_named(root)
     measured = _measure(root)
     facts = {id(x): (total, linked) for x, total, linked, _, _ in measured}
     scored: dict[int, Node] = {}
