@@ -18,12 +18,15 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a folder of this machine if it is all there is
+    (local mode, as in tests), else an error: executors elsewhere would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -72,6 +75,14 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it, in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

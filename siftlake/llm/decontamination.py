@@ -1,7 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Documents and test items are normalised (lower case, runs of anything but letters and digits as one space). A document
-leaks an item if some part of it is within the item's error budget in edit distance: `error_rate` of the item's length.
+Documents and test items are normalised (lower case, runs of anything but letters and digits as one space) and get a
+space at either end, so that an item is looked for as whole words: its ends must meet ends of words, or that costs an
+error. A document leaks an item if some part of it is within the item's error budget in edit distance: `error_rate` of
+the item's length, none for short items.
 Budget e cuts an item into e + 1 pieces; e errors spoil at most e of them, so every leak holds one piece unchanged at
 about its place. One automaton finds all pieces of all items in one pass over a whole text; around each hit, Myers'
 bit-parallel algorithm gives the least distance of the item to any part of the text there.
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ERROR_RATE = 0.08
 GRAM = 5
 _GAPS = re.compile(r"[\W_]+")
@@ -32,6 +36,12 @@ _LATIN = bytes(ord(c) if (c := chr(i).lower()).isalnum() else 32 for i in range(
 
 
 def normalise(text: str) -> str:
+    """Words in lower case between single spaces, one before the first and one behind the last; empty without a word."""
+    words = _words(text)
+    return f" {words} " if words else ""
+
+
+def _words(text: str) -> str:
     try:
         return b" ".join(text.encode("latin-1").translate(_LATIN).split()).decode("latin-1")
     except UnicodeEncodeError:
@@ -50,7 +60,7 @@ class Item:
 
     def __init__(self, item_id: int, text: str, error_rate: float):
         self.item_id, self.text, self.size = item_id, text, len(text)
-        self.budget = int(len(text) * error_rate)
+        self.budget = int((len(text) - 2) * error_rate)
         self.masks: dict[str, int] = defaultdict(int)
         for i, c in enumerate(text):
             self.masks[c] |= 1 << i
@@ -149,12 +159,12 @@ def shards(items: DataFrame, shard_bytes: int) -> Iterator[list[tuple[int, str]]
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), into: str = "leaks") -> DataFrame:
     """doc_id, the kept columns, and `into`, an array of (item_id, distance): a row per row of docs."""
-    kinds = dict(docs.dtypes)
+    kinds, text = dict(docs.dtypes), free_name("_text", [*docs.columns, into])
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
     schema = ", ".join(
-        [f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "_leak_text string", f"`{into}` array<struct<item_id: long, distance: int>>"]
+        [f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), f"`{text}` string", f"`{into}` array<struct<item_id: long, distance: int>>"]
     )
-    names = ["doc_id", *keep, "_leak_text", into]
+    names = ["doc_id", *keep, text, into]
 
     def searched(part: list[tuple[int, str]]):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +172,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
             for batch in batches:
                 n = batch.num_columns
                 found = []
-                for text, before in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):
-                    now = leaks(normalise(text), automaton, ready) if text else []
+                for whole, before in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):
+                    now = leaks(normalise(whole), automaton, ready) if whole else []
                     found.append(sorted([*((x["item_id"], x["distance"]) for x in before), *now]))
                 found = [[{"item_id": i, "distance": d} for i, d in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n - 1], pa.array(found, leak)], names)
@@ -171,10 +181,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
         return rows
 
     none = F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)").alias(into)
-    out = docs.select("doc_id", *keep, F.col("text").cast("string").alias("_leak_text"), none)
+    out = docs.select("doc_id", *keep, F.col("text").cast("string").alias(text), none)
     for part in shards(items, shard_bytes):
         out = out.mapInArrow(searched(part), schema)
-    return out.drop("_leak_text")
+    return out.drop(text)
 
 
 def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -191,5 +201,5 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that leak nothing, with their columns."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return find_leaks(docs, items, keep=rest, into="_leaks_found", **options).where(F.size("_leaks_found") == 0).select(*docs.columns)
+    rest, found = tuple(c for c in docs.columns if c != "doc_id"), free_name("_leaks", docs.columns)
+    return find_leaks(docs, items, keep=rest, into=found, **options).where(F.size(found) == 0).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import free_name, text_bytes
 
 FEATURES = (
     "log_words", "word_length", "distinct_share", "repeat_share", "symbol_share", "upper_share", "bang_share", "bar_share",
@@ -169,8 +169,9 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.float64()))], ["doc_id", *keep, "features"])
 
-    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in keep), "features array<double>"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_bytes().alias("text")).mapInArrow(rows, schema)
+    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "features array<double>"])
+    text = free_name("_text", docs.columns)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_bytes().alias(text)).mapInArrow(rows, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", use: Column, max_rows: int = 20_000, **options) -> Gam:
@@ -181,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", use: Co
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of max_rows rows at most
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # of max_rows rows at most
     table = with_features(rows, ("label",)).toPandas()
     table = table.sort_values(["doc_id", "label"], kind="stable")
     x = np.array(table["features"].tolist(), float).reshape(-1, len(FEATURES))
@@ -200,4 +202,4 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = (), into: str = "
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(x))], ["doc_id", *keep, into])
 
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), f"`{into}` double"])
-    return docs.select("doc_id", *keep, text_bytes().alias("_text")).mapInArrow(rows, schema)
+    return docs.select("doc_id", *keep, text_bytes().alias(free_name("_text", docs.columns))).mapInArrow(rows, schema)
