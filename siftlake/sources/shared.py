@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a local folder only where neither it nor a checkpoint folder is set (tests)."""
+    """Uses spark.checkpoint.dir; sets a folder of this machine only where neither it nor a checkpoint folder is set and
+    the session runs on this machine alone (tests). Elsewhere executors would not see such a folder."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftlake-"))
 
 
