@@ -121,16 +121,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, remembered."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        steps = np.ones((2, max(n, 1024)), np.uint64)
+        steps[0, 1:], steps[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = np.multiply.accumulate(steps, axis=1)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` word hashes; empty when there are fewer."""
+    """Hash of each run of `width` word hashes, a polynomial in the base; empty when there are fewer. All runs come from
+    one running sum: the base is odd, so it has an inverse."""
     n = len(h) - width + 1
-    if n <= 0:
+    if n <= 0 or width < 1:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    for i in range(width):
-        out = out * base + h[i : i + n]
-    return mix64(out)
+    up, down = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down)])
+    return mix64((sums[width:] - sums[:n]) * up[width - 1 :])
 
 
 def crc_fold(doc_id: Column, modulus: int) -> Column:

@@ -74,6 +74,7 @@ class Block:
         parts = [hash_words(w, cache) for w in self.words]
         self.hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.width = width
+        self._phrases: np.ndarray | None = None
 
     def docs_at(self, positions: np.ndarray) -> np.ndarray:
         """Number of the document that holds each word."""
@@ -84,17 +85,25 @@ class Block:
         n = np.maximum(self.sizes - self.width + 1, 0)
         return np.repeat(self.ends - self.sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the window at each start."""
+    def windows(self, starts: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the window at each start: a hash of its words, and one of phrases that cover it."""
         if not len(starts):
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        return window_hashes(self.hashes, self.width)[starts], window_hashes(mix64(self.hashes ^ _SECOND), self.width)[starts]
+        g, rest = self.phrases(gram), np.zeros(len(starts), np.uint64)
+        for i in [*range(0, self.width - gram, gram), self.width - gram]:
+            rest = rest * _SECOND + g[starts + i]
+        return window_hashes(self.hashes, self.width)[starts], mix64(rest)
+
+    def phrases(self, gram: int) -> np.ndarray:
+        if self._phrases is None:
+            self._phrases = window_hashes(self.hashes, gram)
+        return self._phrases
 
     def anchors(self, starts: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """Each window's anchor: where it begins, and its hash with the lowest bit cleared."""
-        g = window_hashes(self.hashes, gram)
         if not len(starts):
             return starts, np.empty(0, np.uint64)
+        g = self.phrases(gram)
         low = np.uint64((1 << 24) - 1)
         key = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
         reach = self.width - gram + 1
@@ -188,21 +197,20 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
         starts = b.starts()
         _, anchor = b.anchors(starts, gram)
         starts = starts[_within(anchor, again)]
-        window, rest = b.windows(starts)
+        window, rest = b.windows(starts, gram)
         doc = b.ids[b.docs_at(starts)] if len(starts) else np.empty(0, np.int64)
-        order = np.lexsort((doc, rest, window))
+        order = _by_window(window, rest)
         window, rest, doc, starts = window[order], rest[order], doc[order], starts[order]
         new = _changes(window, rest)
-        last = np.append(new[1:], len(window)) - 1
-        several = (doc[new] != doc[last]).astype(np.uint8) if len(new) else np.empty(0, np.uint8)
-        return _by_shard(key[0].as_py(), shards, window[new], rest[new], doc[new], starts[new].astype(np.uint32), several)
+        least, most = (f.reduceat(doc, new) if len(new) else doc for f in (np.minimum, np.maximum))
+        return _by_shard(key[0].as_py(), shards, window[new], rest[new], least, starts[new].astype(np.uint32), (least != most).astype(np.uint8))
 
     def confirm(table: pa.Table) -> pa.Table:
         window, rest, doc, start, several, block = _joined(table, np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
-        order = np.lexsort((doc, rest, window))
+        order = _by_window(window, rest)
         window, rest, doc, start, several, block = (c[order] for c in (window, rest, doc, start, several, block))
         new = _changes(window, rest)
-        least = np.repeat(doc[new], np.diff(np.append(new, len(window))))
+        least = np.repeat(np.minimum.reduceat(doc, new) if len(new) else doc, np.diff(np.append(new, len(window))))
         hit = (least < doc) | (several == 1)
         return _to_blocks(block[hit], window[hit], rest[hit], least[hit], start[hit])
 
@@ -214,6 +222,8 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
         gone = np.zeros(len(b.hashes), bool)
         if parts:
             window, rest, least, start = (np.concatenate(c) for c in zip(*parts))
+            order = _by_window(window, rest)
+            window, rest, least = window[order], rest[order], least[order]
             at, _ = b.anchors(start.astype(np.int64), gram)
             at = np.unique(at)
             letters, digits = spelled(b.hashes)
@@ -231,16 +241,11 @@ def drop_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block
                 around[place[place >= 0]] = True
             starts = b.starts()
             starts = starts[around[starts]]
-            found, other = b.windows(starts)
-            # The confirmed windows and the met ones in one order: equal ones are neighbours, the confirmed one first.
-            n = len(window)
-            order = np.lexsort((np.arange(n + len(found)), np.concatenate([rest, other]), np.concatenate([window, found])))
-            new = _changes(np.concatenate([window, found])[order], np.concatenate([rest, other])[order])
-            head = np.empty(len(order), np.int64)
-            head[order] = np.repeat(order[new], np.diff(np.append(new, len(order))))
-            head = head[n:]
-            hit = head < n
-            hit[hit] = least[head[hit]] < b.ids[b.docs_at(starts[hit])]
+            found, other = b.windows(starts, gram)
+            slot = np.minimum(np.searchsorted(window, found), len(window) - 1)
+            while len(next_ := np.flatnonzero((window[slot] == found) & (rest[slot] < other) & (slot + 1 < len(window)))):
+                slot[next_] += 1  # two confirmed windows of equal first halves, in the order of the second
+            hit = (window[slot] == found) & (rest[slot] == other) & (least[slot] < b.ids[b.docs_at(starts)])
             gone = covered(len(b.hashes), starts[hit], width)
         kept, removed = [], []
         for words, a, z in zip(b.words, (b.ends - b.sizes).tolist(), b.ends.tolist()):
@@ -266,6 +271,13 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], other]))
 
 
+def _by_window(window: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The order by the 128 bits; nearly always that by the first half."""
+    order = np.argsort(window, kind="stable")
+    w, r = window[order], rest[order]
+    return np.lexsort((rest, window)) if np.any((w[1:] == w[:-1]) & (r[1:] != r[:-1])) else order
+
+
 def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which keys are among the known, which are sorted."""
     if not len(known):

@@ -10,7 +10,7 @@ the worst passage of each toxic text against passages of harmless ones.
 
 Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id) of
 any length, and of each at most `max_passages` passages: at first evenly spread ones; then a second fit takes, of every
-longer text, the passages that the first model finds worst among all of that text. Scoring covers every word of every
+longer text, the passages that the first model (of whole texts only) finds worst among all of that text. Scoring covers every word of every
 text. A text's score is the maximum over its passages, so it rises with the number of passages; the threshold holds for
 the whole text, whatever its length.
 
@@ -44,6 +44,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words one after another, and how many each has: the word itself and its character n-grams of the
     lengths in GRAMS, with marks for its begin and end."""
+    if len(words) > 20_000:  # in parts, which bounds the arrays below
+        parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+        return np.concatenate([f for f, _ in parts]), np.concatenate([n for _, n in parts])
     texts = [(w.strip(EDGE) or w).decode("utf-8", "replace") for w in words]
     sizes = np.array(list(map(len, texts)), np.int64) + 2
     if not len(sizes):
@@ -215,10 +218,14 @@ def fit(
     rng, b = np.random.default_rng(seed), _Bags(passages)
     everything = np.repeat(np.arange(len(y)), b.n_words)
     pairs = np.unique(text_of[everything] * len(b.n_grams) + b.words)  # words by text
-    w = pairs % len(b.n_grams)
-    pairs = np.unique(np.repeat(pairs // len(b.n_grams), b.n_grams[w]) * BUCKETS + b.grams[b.ranges(b.gram_at[w], b.n_grams[w])])
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for part in np.split(pairs, np.searchsorted(pairs, np.arange(100, len(toxic), 100) * len(b.n_grams))):
+        w = part % len(b.n_grams)
+        grams = np.unique(np.repeat(part // len(b.n_grams), b.n_grams[w]) * BUCKETS + b.grams[b.ranges(b.gram_at[w], b.n_grams[w])])
+        texts_with += np.bincount(grams % BUCKETS, minlength=BUCKETS)
     least = max(2, min(min_texts, int(toxic.sum()) // 10))  # few labels, fewer texts to share a subword
-    net = _Net(b, np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least, dims, rate, rng)
+    net = _Net(b, texts_with >= least, dims, rate, rng)
+    del pairs, texts_with
 
     def rows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(rows)), b.n_words[rows]), b.words[b.ranges(b.word_at[rows], b.n_words[rows])]
@@ -265,15 +272,15 @@ def chosen_passages(text: bytes, width: int, most: int, model: SubwordSoftmax |
     return [words[i : i + width] for i in starts.tolist()]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, max_passages: int = 80, width: int = 6, **options) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, max_passages: int = 48, width: int = 6, **options) -> SubwordSoftmax:
     """Fits on at most max_rows texts per class of the labelled rows that `use` (a condition on doc_id) admits."""
     known = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     part = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = part(0).unionByName(part(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * max_rows at most
 
-    def sample(model: SubwordSoftmax | None) -> tuple[SubwordSoftmax, bool]:
-        """A model fitted on the passages that the given one chooses, and whether any text had more."""
+    def sample(model: SubwordSoftmax | None) -> tuple[tuple, bool]:
+        """What fit() takes, with the passages that the model chooses, and whether any text had more."""
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -289,10 +296,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Colu
         table = table.sort_values(["doc_id", "label", "passage"], kind="stable")
         text_of, ids = pd.factorize(table["doc_id"])
         toxic = table.groupby("doc_id")["label"].max().reindex(ids).to_numpy() if len(table) else np.empty(0)
-        return fit([bytes(p).split() for p in table["passage"]], text_of, toxic, width=width, **options), bool(table["more"].any())
-
-    model, more = sample(None)
-    return sample(model)[0] if more else model
+        more, passages = bool(table["more"].any()), [bytes(p).split() for p in table["passage"]]
+        del table
+        return (passages, text_of, toxic), more
+
+    found, more = sample(None)
+    if more:  # whole texts are enough to tell which passages of the long ones matter
+        found, _ = sample(fit(*found, width=width, **(options | {"epochs": 0})))
+    return fit(*found, width=width, **options)
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
