@@ -14,6 +14,7 @@ tokenizer's special tokens in a text become these tokens, as the library has it.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -66,10 +67,13 @@ class ChunkEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.chunked = all(spec.get(k) == v for k, v in CHUNKED.items()) and spec["model"].get("type") == "BPE"
         self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", ())]
+        head = os.path.commonprefix(self.special).decode("utf-8", "ignore")
+        self.head = head.encode() if head == head.upper() else b""  # stands in a text in any case of letters
         self.end_id: int | None = None
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -85,6 +89,14 @@ class ChunkEncoder(dict):
         return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
 
     def __missing__(self, chunk: bytes) -> int:
+        if chunk.isalpha():  # ASCII letters, in lower case by now: the model's own characters
+            ids = [t.id for t in self.tokenize(chunk.decode())]
+            self[chunk] = at = len(self.first)
+            self.first.append(len(self.flat))
+            self.count.append(len(ids))
+            self.kind.append(0)
+            self.flat.extend(ids)
+            return at
         marked = chunk[:1] == self.MARK and len(chunk) > 1
         text = (chunk[1:] if marked else chunk).decode("utf-8", "replace")
         m = self.PLAIN.fullmatch(text)
@@ -114,7 +126,10 @@ class ChunkEncoder(dict):
                 text = text.replace(end, b" \xff" + end)
         return text.split()
 
-    def has_special(self, low: bytes) -> bool:
+    def has_special(self, text: bytes) -> bool:
+        if not self.special or self.head not in text:
+            return False
+        low = text.lower()
         return any(s in low for s in self.special)
 
     def whole(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
@@ -124,7 +139,7 @@ class ChunkEncoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each followed by the end id, and how many each text has."""
-        special = [i for i, t in enumerate(texts) if not self.chunked or self.has_special(t.lower())]
+        special = [i for i, t in enumerate(texts) if not self.chunked or self.has_special(t)]
         if not special:
             return self.by_chunks(texts, end_id)
         rest = sorted(set(range(len(texts))).difference(special))
