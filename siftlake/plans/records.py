@@ -94,7 +94,7 @@ SELECT o.l_orderkey AS file, concat_ws('; ', (SELECT string_agg(name || ': ' ||
 def q_checks_digest(t: Tables) -> DataFrame:
     """Lines stand for the checks of an order."""
     n = F.col("l_linenumber")
-    item = F.struct((n * 1000000000 + F.col("l_partkey")).alias("k"), F.concat(F.lit("check "), n.cast("string")).alias("name"), _pick(("pass", "fail", "partial", "na"), (F.col("l_partkey") + n) % 4).alias("status"), F.concat(F.lit("seen at "), F.col("l_partkey").cast("string"), F.lit("; more")).alias("detail"), F.when(n == 4, "advisory").otherwise("structural").alias("category"))
+    item = F.struct((n.cast("long") * 1000000000 + F.col("l_partkey")).alias("k"), F.concat(F.lit("check "), n.cast("string")).alias("name"), _pick(("pass", "fail", "partial", "na"), (F.col("l_partkey") + n) % 4).alias("status"), F.concat(F.lit("seen at "), F.col("l_partkey").cast("string"), F.lit("; more")).alias("detail"), F.when(n == 4, "advisory").otherwise("structural").alias("category"))
     checks = t.lineitem.groupBy(F.col("l_orderkey").alias("file")).agg(F.array_sort(F.collect_list(item)).alias("checks"))
     return checks.select("file", R.checks_digest(F.col("checks")).alias("digest"))
 
