@@ -65,6 +65,10 @@ TYPE_WEIGHTS = {"Document": 1.0, "Database": 0.8, "Image": 0.5, "Log": 0.5, "Arc
 PRIORITY_WEIGHTS = {"integrity": 0.25, "reconstruction": 0.20, "relationship": 0.15, "relevance": 0.40}
 PRIORITY_BANDS = {"CRITICAL": 88, "HIGH": 72, "MEDIUM": 52, "LOW": 35}
 RELATION_LABELS = ((0.9, "Strong"), (0.75, "Probable"), (0.55, "Possible"), (0.35, "Weak"))
+# How sure a directory's name is: its long form with the checksum of the short one, deleted with and without its first
+# letter found again, the short form alone. Letters a short name may begin with.
+NAME_SURE = {"long": 0.98, "deleted, letter found": 0.95, "deleted": 0.8, "short": 0.6}
+SHORT_NAME_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 # End of fixed values.
 
 CLUSTER = 4096

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import parsers as P
 from siftlake.functions.fixed import CLUSTER
 from siftlake.operators import carving as C
+from siftlake.operators import directories
 from siftlake.sources import images, synth
 
 
@@ -21,18 +22,58 @@ def test_scalar_parsers():
     assert [o["reason"] for o in P.pdf_objects(pdf[:400])][-1] == "cut"
 
 
-def test_directory_recovers_deleted_name():
-    data = synth.fat_directory_bytes([("annual report.pdf", 9, 100, True), ("x y z.txt", 12, 5, False)])
-    a, b = P.fat_entries(data)
-    assert (a["name"], a["deleted"], a["first_letter"], a["image_cluster"]) == ("annual report.pdf", True, "A", 7)
-    assert (b["name"], b["name_confidence"]) == ("x y z.txt", 0.98)
+def test_directory_recovers_deleted_name(spark):
+    data = synth.fat_directory_bytes([("annual report.pdf", 9, 100, True), ("x y z.txt", 12, 5, False), ("exactly 13 ch.txt", 70000, 6, True)])
+    broken = bytearray(data)
+    broken[13] ^= 0x55  # the checksum in the long-name parts no longer fits
+    bare = bytes([0xE5]) + b"OTES   TXT" + bytes([0x20]) + bytes(14) + (5).to_bytes(2, "little") + (77).to_bytes(4, "little")
+    frame = spark.createDataFrame([(1, bytearray(data)), (2, broken), (3, bytearray(bare.ljust(64, b"\0"))), (4, bytearray(b"junk")), (5, bytearray())], "cluster long, data binary")
+    got = {(r["cluster"], r["entry"]): r for r in directories.entries(frame, "cluster", "data").collect()}
+    rows = [got[k] for k in sorted(got)]
+    a, b, c = rows[:3]
+    assert (a["name"], a["deleted"], a["first_letter"], a["image_cluster"], a["name_confidence"]) == ("annual report.pdf", True, "A", 7, 0.95)
+    assert (b["name"], b["name_confidence"], b["size"], b["first_letter"]) == ("x y z.txt", 0.98, 5, None)
+    assert (c["name"], c["first_cluster"], c["first_letter"], c["modified"]) == ("exactly 13 ch.txt", 70000, "E", "2025-01-01T12:00:00")
+    assert rows[3]["name"] == "annual report.pdf" and rows[3]["name_confidence"] in (0.8, 0.95)
+    assert (rows[-1]["cluster"], rows[-1]["name"], rows[-1]["name_confidence"], rows[-1]["size"], rows[-1]["modified"]) == (3, "_OTES.TXT", 0.6, 77, None)
+
+
+def test_checksum_of_a_short_name():
+    total = 0
+    for code in b"README  TXT":
+        total = ((total & 1) << 7) + (total >> 1) + code & 0xFF
+    assert P.lfn_checksum(b"README  TXT") == total
 
 
 def test_sqlite_rows_are_all_read():
     db = synth.sqlite_bytes(300)
-    rows = [r for i in range(1, len(db) // CLUSTER) for r in P.sqlite_rows(db[i * CLUSTER : (i + 1) * CLUSTER])]
-    assert sorted(r for r, _ in rows) == list(range(1, 301))
-    assert dict(rows)[7][1].startswith("item number 7")
+    rows = [r for i in range(1, len(db) // CLUSTER) for r in P.table_rows(db[i * CLUSTER : (i + 1) * CLUSTER])]
+    assert sorted(r for r, _, _ in rows) == list(range(1, 301)) and all(w for *_, w in rows)
+    assert {r: v for r, v, _ in rows}[7][1].startswith("item number 7")
+
+
+def test_sqlite_overflow_pages_and_long_blobs(spark, tmp_path):
+    import sqlite3
+
+    path = tmp_path / "x.db"
+    db = sqlite3.connect(path)
+    db.execute("pragma page_size = 1024")
+    db.execute("create table t (id integer primary key, a text, b blob, c real, d integer)")
+    want = {i: ("long " * (i * 37), bytes(range(256)) * (i % 9), i / 7, [None, 0, 1, -5, 300, 70000, 2**40, -(2**62)][i % 8]) for i in range(1, 60)}
+    db.executemany("insert into t values (?, ?, ?, ?, ?)", [(i, *v) for i, v in want.items()])
+    db.commit()
+    db.close()
+    frame = spark.createDataFrame([(1, bytearray(path.read_bytes())), (2, bytearray(b"no database"))], "file long, data binary")
+    rows = [r for r in C.database_rows(frame, "file", "data").collect() if len(r["values"]) == 5 and r["values"][1] is not None and r["rowid"] in want and r["page"] > 1]
+    assert len(rows) == len(want) and all(r["whole"] for r in rows)
+    for r in rows:
+        a, b, c, d = want[r["rowid"]]
+        assert r["values"][:3] == [None, a, b.hex()] and float(r["values"][3]) == c  # whole numbers are stored as integers
+        assert r["values"][4] == (None if d is None else str(d))
+    cut = path.read_bytes()
+    pages = spark.createDataFrame([(n, bytearray(cut[n * 1024 : (n + 1) * 1024])) for n in range(1, len(cut) // 1024)], "cluster long, data binary")
+    alone = C.sqlite_rows(pages, "cluster", "data").where("not whole").collect()
+    assert alone and all(r["values"][1] in (None, want[r["rowid"]][0]) and r["values"][2] in (None, want[r["rowid"]][1].hex()) for r in alone if r["rowid"] in want and len(r["values"]) == 5)
 
 
 def test_image_classes_match_truth(spark, tmp_path):
