@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .placement import nearest
 
 
 def input_type(data: Column) -> Column:
@@ -161,12 +162,12 @@ def export_files(files: DataFrame, key: str, data: str, path: str) -> DataFrame:
 
 def purged_match(purged: DataFrame, carved: DataFrame) -> DataFrame:
     """For each purged item (item, type, size) the carved file of its type that is nearest in size, with a verdict."""
-    met = purged.join(carved, "type")
-    best = met.groupBy("item", "size").agg(F.min(F.struct(F.abs(F.col("carved_size") - F.col("size")).alias("off"), "file", "status")).alias("b"))
-    ratio = F.col("b.off") / F.greatest(F.col("size"), F.lit(1))
-    whole = F.col("b.status").isin("FULLY_RECOVERED", "MOSTLY_RECOVERED")
+    pool = carved.select("type", F.col("carved_size").alias("size"), F.struct("file", "status").alias("found"))
+    best = nearest(purged.select("item", "type", "size"), pool, ["type"], "size", "found").where("found is not null")
+    ratio = F.col("off") / F.greatest(F.col("size"), F.lit(1))
+    whole = F.col("found.status").isin("FULLY_RECOVERED", "MOSTLY_RECOVERED")
     verdict = F.when(whole & (ratio <= 0.5), "RECOVERED").when(ratio <= 1.0, "PARTIALLY_RECOVERED").otherwise("NOT_FOUND")
-    return best.select("item", "b.file", verdict.alias("verdict"))
+    return best.select("item", "found.file", verdict.alias("verdict"))
 
 
 def fit_edges(samples: DataFrame, features: list[str], label: str = "label"):

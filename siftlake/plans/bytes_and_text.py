@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
+from ..operators import security
 from .registry import Tables, query
+from .security import rule_sql
 
 BLOCK = 512
 
@@ -158,95 +160,57 @@ def q_identifiers(t: Tables) -> DataFrame:
     return identifiers(t.documents)
 
 
-@query(f"""WITH i AS ({_IDS_SQL}), g AS (SELECT kind, value, min(doc_id) AS first, count(*) AS n FROM i GROUP BY 1, 2 HAVING count(*) > 1)
-SELECT doc_id, first, count(*)::BIGINT AS shared, round(least(0.8, 0.45 + 0.1 * count(*)), 6) AS confidence FROM i JOIN g USING (kind, value) WHERE doc_id <> first GROUP BY 1, 2""")
+@query(f"""WITH i AS ({_IDS_SQL}) SELECT x.doc_id, y.doc_id AS first, count(*)::BIGINT AS shared, round(least(0.8, 0.45 + 0.1 * count(*)), 6) AS confidence
+FROM i x JOIN i y ON x.kind = y.kind AND x.value = y.value AND y.doc_id < x.doc_id GROUP BY 1, 2""")
 def q_shared_identifiers(t: Tables) -> DataFrame:
     """Each two artefacts that share identifiers, the later one as doc_id, with the full number of them."""
     return shared_identifiers(identifiers(t.documents))
 
 
-@query(r"""SELECT doc_id, len(ts)::BIGINT AS n, ts[1] AS first, ts[-1] AS last FROM (
-SELECT doc_id, regexp_extract_all(text, '\d\d\d\d-\d\d-\d\d') AS ts FROM documents) WHERE len(ts) > 0""")
-def q_timestamps(t: Tables) -> DataFrame:
-    found = t.documents.select("doc_id", F.regexp_extract_all("text", F.lit(r"(\d\d\d\d-\d\d-\d\d)"), F.lit(1)).alias("ts")).where(F.size("ts") > 0)
-    return found.select("doc_id", F.size("ts").cast("long").alias("n"), F.element_at("ts", 1).alias("first"), F.element_at("ts", -1).alias("last"))
+_LOGS = "SELECT o_custkey, string_agg('x ' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END || ' done', chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey"
 
 
-#: name, severity, named strings (text, case ignored), and the condition over names.
-RULES = (
-    ("script_downloader", "suspicious", {"a": ("powershell -enc", True), "b": ("frombase64string", True), "c": ("cmd.exe /c", True), "d": ("downloadstring(", True)}, "a or b or c or d"),
-    ("pdf_active", "suspicious", {"pdf": ("%PDF-", False), "js": ("/JavaScript", False), "open": ("/OpenAction", False), "launch": ("/Launch", False)}, "pdf and ((js and open) or launch)"),
-    ("office_macro", "suspicious", {"vba": ("vbaproject.bin", True), "auto": ("autoopen", True)}, "vba or auto"),
-    ("credential", "notice", {"p": ("password=", True), "k": ("api_key", True), "s": ("secret", True)}, "p or k or s"),
-    ("script_markup", "notice", {"open": ("<script", True), "track": ("track(", False)}, "open and track"),
+@query(rf"""SELECT o_custkey, len(ts)::BIGINT AS n, ts[1] AS first, ts[-1] AS last FROM (SELECT o_custkey, regexp_extract_all(text, '{S.TIMESTAMP_RE}') AS ts FROM ({_LOGS})) WHERE len(ts) > 0""")
+def q_timestamps(t: Tables) -> DataFrame:
+    """First and last stamp of each log; a customer's orders stand for its lines."""
+    form = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    line = F.struct("o_orderkey", F.concat(F.lit("x "), form, F.lit(" done")).alias("line"))
+    logs = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
+    found = logs.select("o_custkey", F.regexp_extract_all("text", F.lit(f"({S.TIMESTAMP_RE})"), F.lit(1)).alias("ts")).where(F.size("ts") > 0)
+    return found.select("o_custkey", F.size("ts").cast("long").alias("n"), F.element_at("ts", 1).alias("first"), F.element_at("ts", -1).alias("last"))
+
+
+#: Rules of a user's own, beside the built-in ones.
+OWN_RULES = (
+    security.Rule("credential", "notice", (("p", "password=", True), ("k", "api_key", True), ("s", "secret", True)), (("p",), ("k",), ("s",))),
+    security.Rule("script_markup", "notice", (("open", "<script", True), ("track", "track(", False)), (("open", "track"),)),
 )
+_TEXTS = "a AS (SELECT 'document' AS kind, doc_id AS id, text AS x FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'page', page_id, html FROM pages WHERE html IS NOT NULL)"
 
 
-def rule_hits(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rule, severity, offsets): rules compiled to one projection; offsets of the first hits, sorted, five at most."""
-    low, cols = F.lower(text), []
-    for name, severity, strings, condition in RULES:
-        at = {s: F.instr(low if nocase else F.col(text), pattern) for s, (pattern, nocase) in strings.items()}
-        offsets = F.array_sort(F.filter(F.array(*at.values()), lambda x: x > 0))
-        test = _condition(condition, {s: c > 0 for s, c in at.items()})
-        cols.append(F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.slice(offsets, 1, 5).alias("offsets"))))
-    hits = F.filter(F.array(*cols), lambda x: x.isNotNull())
-    return df.select(key, F.explode(hits).alias("h")).select(key, "h.rule", "h.severity", F.transform("h.offsets", lambda x: x - 1).alias("offsets"))
-
-
-def _condition(text: str, names: dict[str, Column]) -> Column:
-    """A condition of names, and, or and brackets as a column."""
-    tokens = text.replace("(", " ( ").replace(")", " ) ").split()
-
-    def either() -> Column:
-        left = every()
-        while tokens and tokens[0] == "or":
-            tokens.pop(0)
-            left = left | every()
-        return left
-
-    def every() -> Column:
-        left = one()
-        while tokens and tokens[0] == "and":
-            tokens.pop(0)
-            left = left & one()
-        return left
-
-    def one() -> Column:
-        token = tokens.pop(0)
-        if token == "(":
-            inside = either()
-            tokens.pop(0)
-            return inside
-        return names[token]
-
-    return either()
-
-
-def _rules_sql() -> str:
-    parts = []
-    for name, severity, strings, condition in RULES:
-        test = " ".join(w if w in ("and", "or", "(", ")") else f"instr({'lower(text)' if strings[w][1] else 'text'}, '{strings[w][0]}') > 0" for w in condition.replace("(", " ( ").replace(")", " ) ").split())
-        parts.append(f"SELECT kind, id, '{name}' AS rule, '{severity}' AS severity FROM a WHERE {test}")
-    return "WITH a AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)\n" + " UNION ALL ".join(parts)
-
-
-@query(_rules_sql())
+@query(f"WITH {_TEXTS} " + " UNION ALL ".join(rule_sql(r, "kind, id") for r in (*security.RULES, *OWN_RULES)))
 def q_rules(t: Tables) -> DataFrame:
-    docs = rule_hits(t.documents, "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "rule", "severity")
-    pages = rule_hits(t.pages, "page_id", "html").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "rule", "severity")
-    return docs.unionByName(pages)
+    """Built-in and own rules over all documents and pages, with the first offsets of their strings."""
+    docs = t.documents.where("text is not null").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("x"))
+    pages = t.pages.where("html is not null").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").cast("binary").alias("x"))
+    hits = docs.unionByName(pages).select("kind", "id", F.explode(security.rule_hits(F.col("x"), (*security.RULES, *OWN_RULES))).alias("r"))
+    return hits.select("kind", "id", "r.rule", "r.severity", F.array_join(F.col("r.offsets").cast("array<string>"), " ").alias("offsets"))
+
+
+_HEX_LINE = r"""trim(regexp_replace(h[2 * off + 1:least(2 * off + 32, 2 * stop)], '(..)', '\1 ', 'g')) AS line,
+array_to_string(list_transform(regexp_extract_all(h[2 * off + 1:least(2 * off + 32, 2 * stop)], '..'), lambda b: CASE WHEN b BETWEEN '20' AND '7E' THEN chr(('0x' || b)::INT) ELSE '.' END), '') AS ascii"""
 
 
-@query(r"""SELECT doc_id, off::BIGINT AS off, trim(regexp_replace(upper(hex(encode(substring(text, 1, 64)))[2 * off + 1:2 * off + 32]), '(..)', '\1 ', 'g')) AS line FROM (
-SELECT doc_id, text, unnest(range(0, octet_length(encode(substring(text, 1, 64)))::BIGINT, 16)) AS off FROM documents WHERE length(text) > 0)""")
+@query(f"""SELECT doc_id, off::BIGINT AS off, {_HEX_LINE} FROM (
+SELECT doc_id, h, stop, unnest(range(start, stop, 16)) AS off FROM (SELECT *, greatest(0, least(100, n - 1)) AS start, least(n, greatest(0, least(100, n - 1)) + 512) AS stop FROM (
+SELECT doc_id, upper(hex(encode(text))) AS h, octet_length(encode(text))::BIGINT AS n FROM documents WHERE length(text) > 0)))""")
 def q_hex_view(t: Tables) -> DataFrame:
-    """Lines of sixteen bytes of a view (the first 64 characters), as the hex view of an artefact shows them."""
-    return hex_view(t.documents.select("doc_id", F.substring("text", 1, 64).cast("binary").alias("v")), "doc_id", "v")
+    """The view of an artefact: 512 bytes from byte 100 on, a window that the viewer chooses."""
+    return hex_view(t.documents.select("doc_id", F.col("text").cast("binary").alias("v")), "doc_id", "v", 100, 512)
 
 
 def hex_view(df: DataFrame, key: str, data: str, offset: int = 0, length: int | None = None) -> DataFrame:
-    """(key, off, line): lines of sixteen bytes from an offset on, which is held within the data, over `length` bytes or
+    """(key, off, line, ascii): lines of sixteen bytes from an offset on, which is held within the data, over `length` bytes or
     to the end. Cut from the bytes, so a line costs the same wherever it stands."""
     size = F.octet_length(data)
     start = F.greatest(F.lit(0), F.least(F.lit(offset), size - 1))
@@ -255,14 +219,15 @@ def hex_view(df: DataFrame, key: str, data: str, offset: int = 0, length: int |
     offs = F.sequence(F.lit(0), F.col("_left") - 1, F.lit(16))
 
     def line(i: Column) -> Column:
-        part = F.hex(F.substring(F.col("_data"), F.col("_start") + i + 1, F.least(F.lit(16), F.col("_left") - i)))
-        return F.struct((F.col("_start") + i).cast("long").alias("off"), F.trim(F.regexp_replace(part, "(..)", "$1 ")).alias("line"))
+        part = F.substring(F.col("_data"), F.col("_start") + i + 1, F.least(F.lit(16), F.col("_left") - i))
+        shown = F.regexp_replace(S.as_latin1(part), "[^ -~]", ".")
+        return F.struct((F.col("_start") + i).cast("long").alias("off"), F.trim(F.regexp_replace(F.hex(part), "(..)", "$1 ")).alias("line"), shown.alias("ascii"))
 
-    return views.select(key, F.explode(F.transform(offs, line)).alias("l")).select(key, "l.off", "l.line")
+    return views.select(key, F.explode(F.transform(offs, line)).alias("l")).select(key, "l.off", "l.line", "l.ascii")
 
 
-@query(r"""SELECT doc_id, off::BIGINT AS off, trim(regexp_replace(h[2 * off + 1:2 * off + 32], '(..)', '\1 ', 'g')) AS line FROM (
-SELECT doc_id, upper(hex(encode(text))) AS h, unnest(range(0, octet_length(encode(text))::BIGINT, 16)) AS off FROM documents WHERE length(text) > 0)""")
+@query(f"""SELECT doc_id, off::BIGINT AS off, {_HEX_LINE} FROM (
+SELECT doc_id, upper(hex(encode(text))) AS h, octet_length(encode(text))::BIGINT AS stop, unnest(range(0, octet_length(encode(text))::BIGINT, 16)) AS off FROM documents WHERE length(text) > 0)""")
 def q_hex_dump(t: Tables) -> DataFrame:
     """Lines of sixteen bytes over the whole of each text."""
     return hex_view(t.documents.select("doc_id", F.col("text").cast("binary").alias("v")), "doc_id", "v")

@@ -44,15 +44,16 @@ def _at(chars: str, nocase: bool) -> str:
     return f"CASE WHEN instr({x}, {mark}) > 0 THEN octet_length(encode(left(x, instr({x}, {mark}) - 1))) ELSE -1 END"
 
 
-def _rule_sql(rule: X.Rule) -> str:
+def rule_sql(rule: X.Rule, key: str = "doc_id") -> str:
+    """SQL for one rule over a table a (key, x)."""
     found = ", ".join(f"{_at(c, n)} AS {name}" for name, c, n in rule.strings)
     holds = " OR ".join("(" + " AND ".join(f"{name} >= 0" for name in every) + ")" for every in rule.any_of)
     every = "[" + ", ".join(name for name, _, _ in rule.strings) + "]"
     offsets = f"array_to_string(list_sort(list_filter({every}, lambda v: v >= 0))[1:5], ' ')"
-    return f"SELECT doc_id, '{rule.name}' AS rule, '{rule.severity}' AS severity, {offsets} AS offsets FROM (SELECT doc_id, {found} FROM a) WHERE {holds}"
+    return f"SELECT {key}, '{rule.name}' AS rule, '{rule.severity}' AS severity, {offsets} AS offsets FROM (SELECT {key}, {found} FROM a) WHERE {holds}"
 
 
-_RULES_SQL = " UNION ALL ".join(map(_rule_sql, X.RULES))
+_RULES_SQL = " UNION ALL ".join(map(rule_sql, X.RULES))
 
 
 @query(f"WITH a AS ({_ARTEFACTS}) {_RULES_SQL}")

@@ -16,22 +16,15 @@ def q_name_relations(t: Tables) -> DataFrame:
     return services.related_names(t.part, "p_partkey", "p_name", "p_brand")
 
 
-@query("""WITH g AS (SELECT o_orderkey AS file, o_custkey AS gap, (o_totalprice / 10)::BIGINT AS length, o_orderpriority AS family FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 9 = 0),
-c AS (SELECT l_returnflag || '-' || l_linenumber AS family, l_orderkey FROM lineitem LIMIT 0)
-SELECT file, gap, 'UNKNOWN' AS level, 0::BIGINT AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.family = g.family)""")
-def q_outlook_unknown(t: Tables) -> DataFrame:
-    """Gaps for which no fragment of the family is free."""
-    gaps = t.orders.where("o_orderstatus = 'P' and o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("gap"), (F.col("o_totalprice") / 10).cast("long").alias("length"), F.col("o_orderpriority").alias("family"))
-    none = t.lineitem.where("l_quantity < 0").select(F.lit("x").alias("family"), F.col("l_orderkey").alias("candidate"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("structural"))
-    return services.outlook(gaps, none).select("file", "gap", "level", F.size("candidates").cast("long").alias("n"))
-
-
-@query("""WITH g AS (SELECT o_orderkey AS file, o_custkey AS gap, (o_totalprice / 10)::BIGINT AS length, o_orderpriority AS family FROM orders WHERE o_orderstatus = 'P'),
+_OUTLOOK = """WITH g AS (SELECT o_orderkey AS file, o_custkey AS gap, (o_totalprice / 10)::BIGINT AS length, o_orderpriority AS family FROM orders WHERE o_orderstatus = 'P'),
 c AS (SELECT CASE l_linenumber WHEN 1 THEN '1-URGENT' WHEN 2 THEN '2-HIGH' WHEN 3 THEN '3-MEDIUM' ELSE 'other' END AS family, l_orderkey * 10 + l_linenumber AS candidate, (l_quantity * 1000)::BIGINT AS size, l_linenumber = 1 AND l_returnflag = 'R' AND l_quantity >= 10 AS structural FROM lineitem),
 k AS (SELECT family, size, structural, unnest(list_sort(list(DISTINCT candidate))[1:8]) AS candidate FROM c GROUP BY family, size, structural),
 m AS (SELECT file, gap, candidate, abs(size - length) AS off, CASE WHEN candidate IS NULL THEN 0 WHEN structural AND size <= length THEN 3 WHEN abs(size - length) <= 0.1 * length THEN 2 ELSE 1 END AS rank FROM g LEFT JOIN k USING (family)),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, gap ORDER BY rank DESC, off, candidate) AS rn FROM m)
-SELECT file, gap, CASE max(rank) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'UNKNOWN' END AS level, count(candidate) AS n, coalesce(string_agg(candidate::VARCHAR, ' ' ORDER BY rn), '') AS best FROM r WHERE rn <= 8 GROUP BY file, gap""")
+SELECT file, gap, CASE max(rank) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'UNKNOWN' END AS level, count(candidate) AS n, coalesce(string_agg(candidate::VARCHAR, ' ' ORDER BY rn), '') AS best FROM r WHERE rn <= 8 GROUP BY file, gap"""
+
+
+@query(_OUTLOOK)
 def q_outlook(t: Tables) -> DataFrame:
     """Every gap with its outlook and the eight best free fragments of its family; two families have none."""
     gaps = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("gap"), (F.col("o_totalprice") / 10).alias("x"), F.col("o_orderpriority").alias("family"))
@@ -44,6 +37,12 @@ def q_outlook(t: Tables) -> DataFrame:
     return found.select("file", "gap", "level", F.size("candidates").cast("long").alias("n"), F.array_join(F.col("candidates").cast("array<string>"), " ").alias("best"))
 
 
+@query(f"SELECT file, gap, level, n FROM ({_OUTLOOK}) WHERE level = 'UNKNOWN'")
+def q_outlook_unknown(t: Tables) -> DataFrame:
+    """Gaps for which no fragment of the family is free."""
+    return q_outlook(t).where("level = 'UNKNOWN'").select("file", "gap", "level", "n")
+
+
 @query("""WITH f AS (SELECT o_orderkey AS file_id, CASE o_orderstatus WHEN 'P' THEN 'PARTIALLY_RECOVERED' WHEN 'F' THEN 'FULLY_RECOVERED' ELSE 'UNCERTAIN' END AS status, o_orderkey % 3 AS gaps, CASE WHEN o_custkey % 50 = 0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS security, o_totalprice AS priority FROM orders),
 r AS (SELECT file_id, priority, 'repair' AS action, 'HIGH' AS confidence, 0 AS k FROM f WHERE status = 'PARTIALLY_RECOVERED' AND gaps > 0 UNION ALL SELECT file_id, priority, 'isolate', 'HIGH', 0 FROM f WHERE security = 'SUSPICIOUS'
 UNION ALL SELECT file_id, priority, 'review', 'MEDIUM', 1 FROM f WHERE status = 'UNCERTAIN' UNION ALL SELECT file_id, priority, 'export', 'LOW', 2 FROM f WHERE status = 'FULLY_RECOVERED')
