@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontamination, minhash, mixing, quality_gam, token_output
-from siftlake.llm.common import Scratch, crc_fold, read_table
+from siftlake.llm.common import Scratch, crc_fold, free_name, read_table
 
 #: Documents scored lower are rejected.
 LEAST_QUALITY = 0.7
@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on the labelled rows outside the held-out fold."""
     model = quality_gam.train(docs, read_table(spark, sf_dir, "labels"), use=crc_fold(F.col("doc_id"), 4) != 2)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = quality_gam.score(docs, model, keep=rest, into="_quality_score")
-    return scored.where(F.col("_quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    into = free_name("_score", docs.columns)
+    scored = quality_gam.score(docs, model, keep=rest, into=into)
+    return scored.where(F.col(into) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
