@@ -70,9 +70,9 @@ def q_input_types(t: Tables) -> DataFrame:
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT 'log' AS family, printf('P%03d', i) AS src, printf('P%03d', i + 1) AS dst, i AS position, 'P000' AS head FROM range(0, 6) t(i)")
 def q_log_chain(t: Tables) -> DataFrame:
-    """Pieces of a log put back in order by time and by the lines that were cut."""
+    """Pieces of a log put back in order by time and by the lines that were cut; the SQL has the order they were cut in."""
     log = synth.log_bytes(400)
     cuts = list(range(0, len(log), 4096))
     rows = []
@@ -84,10 +84,10 @@ def q_log_chain(t: Tables) -> DataFrame:
     frags = t.spark.createDataFrame(rows, "family string, fragment string, first_stamp string, last_stamp string, head_line string, tail_line string, interval double")
     pairs = chains.log_pairs(frags, "family")
     score = chains.log_confidence(F.col("gap"), F.col("interval"), F.col("tail_line"), F.col("head_line"))
-    return chains.greedy_chains(pairs.select("family", "src", "dst", score.alias("confidence")), "family", 0.0)
+    return chains.greedy_chains(pairs.select("family", "src", "dst", score.alias("confidence")), "family", 0.0).drop("confidence")
 
 
-@query()
+@query("""WITH f AS (SELECT vec_id % 25 AS image, vec_id AS fragment, vec_id % 8 AS first, vec_id * 3 % 8 AS last FROM embeddings) SELECT a.image, a.fragment::VARCHAR AS src, b.fragment::VARCHAR AS dst, b.first AS rst FROM f a JOIN f b ON a.image = b.image AND b.first = (a.last + 1) % 8 AND a.fragment <> b.fragment""")
 def q_restart_pairs(t: Tables) -> DataFrame:
     """Vectors stand for scan fragments with a first and a last restart number."""
     frags = t.embeddings.select((F.col("vec_id") % 25).alias("image"), F.col("vec_id").cast("string").alias("fragment"), (F.col("vec_id") % 8).alias("first_rst"), (F.col("vec_id") * 3 % 8).alias("last_rst"))
