@@ -39,33 +39,35 @@ class FolderMonitor:
 
     def set_baseline(self) -> None:
         read_folder(self.spark, self.folder).write.mode("overwrite").parquet(f"{self.state}/baseline")
-        self.spark.createDataFrame([], "rel_path string, change string, batch long").write.mode("overwrite").parquet(f"{self.state}/reported")
+        self.spark.createDataFrame([], "rel_path string, change string").write.mode("overwrite").parquet(f"{self.state}/reported/batch=-1")
 
     def scan(self, batch: int = 0) -> DataFrame:
-        """Changes that were not reported before; they count as reported from now on."""
+        """Changes that no other batch has reported; they count as reported from now on. A batch that runs again, after a
+        failure, finds and writes what it found before."""
         old = self.spark.read.parquet(f"{self.state}/baseline")
         diff = snapshot_diff(old, read_folder(self.spark, self.folder), "rel_path", "sha256").where("change <> 'unchanged'")
-        told = self.spark.read.parquet(f"{self.state}/reported").select("rel_path", "change")
-        fresh = diff.join(told, ["rel_path", "change"], "left_anti").select("rel_path", "change", F.lit(batch).cast("long").alias("batch"))
-        path = f"{self.state}/fresh/{batch}"
+        told = self.spark.read.parquet(f"{self.state}/reported").where(F.col("batch") != batch).select("rel_path", "change")
+        fresh = diff.join(told, ["rel_path", "change"], "left_anti").select("rel_path", "change")
+        path = f"{self.state}/reported/batch={batch}"
         fresh.write.mode("overwrite").parquet(path)
-        found = self.spark.read.parquet(path)
-        found.write.mode("append").parquet(f"{self.state}/reported")
-        return found
+        return self.spark.read.schema(fresh.schema).parquet(path)
 
-    def incident(self, found: DataFrame) -> DataFrame:
-        """One row with counts and severity if something was lost or three files changed."""
+    def incident(self, found: DataFrame, corrupted: DataFrame | None = None) -> DataFrame:
+        """One row with counts and severity if something was lost or three files changed. corrupted: rel_path of changed
+        files that no longer pass their validator; these are lost too."""
         n = found.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("deleted", "new", "modified")])
-        lost = F.col("deleted")
+        bad = corrupted.join(found.where("change = 'modified'"), "rel_path", "left_semi").agg(F.count(F.lit(1)).alias("corrupted")) if corrupted is not None else found.sparkSession.range(1).select(F.lit(0).alias("corrupted"))
+        n = n.crossJoin(F.broadcast(bad))  # one row each
+        lost = F.col("deleted") + F.col("corrupted")
         rows = n.where((lost > 0) | (F.col("modified") >= 3))
-        return rows.withColumn("severity", S.incident_severity(lost, F.col("deleted"), F.lit(0), F.col("modified")))
+        return rows.withColumn("severity", S.incident_severity(lost, F.col("deleted"), F.col("corrupted"), F.col("modified")))
 
     def start(self, ticks: DataFrame, checkpoint: str, every: str = "5 seconds", once: bool = False) -> StreamingQuery:
         """Scans at each micro-batch of a stream of ticks; a burst of ticks in one batch gives one scan."""
 
         def act(batch: DataFrame, number: int) -> None:
             if not batch.isEmpty():
-                self.incident(self.scan(number)).write.mode("append").parquet(f"{self.state}/incidents")
+                self.incident(self.scan(number)).write.mode("overwrite").parquet(f"{self.state}/incidents/batch={number}")
 
         writer = ticks.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -33,6 +33,10 @@ def test_monitor_reports_once(spark, tmp_path):
     (folder / "b.txt").write_text("other")
     found = {r["rel_path"]: r["change"] for r in m.scan(1).collect()}
     assert found == {"a.txt": "deleted", "b.txt": "modified"}
+    again = m.scan(1)  # the batch runs once more
+    assert {r["rel_path"]: r["change"] for r in again.collect()} == found
+    bad = spark.createDataFrame([("b.txt",), ("never.txt",)], "rel_path string")
+    assert [(r["deleted"], r["modified"], r["corrupted"], r["severity"]) for r in m.incident(again, bad).collect()] == [(1, 1, 1, "HIGH")]
     assert m.scan(2).count() == 0
     (folder / "sub/c.txt").unlink()
     ticks = tmp_path / "ticks"
