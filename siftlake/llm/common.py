@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -100,10 +101,28 @@ class WordHash(dict):
 
 
 _WORDS = WordHash()
+_REMEMBERED: dict[str, Callable[[], None]] = {"words": _WORDS.clear}
+_SERVED = [""]
+
+
+def remembers(kind: str, forget: Callable[[], None]) -> None:
+    """Names something that Python workers remember from task to task, and how to forget it."""
+    _REMEMBERED[kind] = forget
+
+
+def serve(kind: str) -> None:
+    """Called by tasks: a worker that turns to another operator forgets what only the former one needs, so the memories
+    of a pipeline's stages do not add up."""
+    if _SERVED[0] != kind:
+        _SERVED[0] = kind
+        for other, forget in _REMEMBERED.items():
+            if other != kind:
+                forget()
 
 
 def worker_words() -> WordHash:
     """The hashes that this Python worker remembers from task to task."""
+    serve("words")
     return _WORDS
 
 

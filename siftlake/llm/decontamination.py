@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, serve
 
 ERROR_RATE = 0.08
 GRAM = 5
@@ -168,6 +168,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
 
     def searched(part: list[tuple[int, str]]):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            serve("leaks")
             automaton, ready = build(part, error_rate)
             for batch in batches:
                 n = batch.num_columns

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_bytes
+from .common import free_name, serve, text_bytes
 
 FEATURES = (
     "log_words", "word_length", "distinct_share", "repeat_share", "symbol_share", "upper_share", "bang_share", "bar_share",
@@ -164,6 +164,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in batches:
             found = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -195,6 +196,7 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = (), into: str = "
     kinds = dict(docs.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in batches:
             if batch.num_rows:
                 x = np.array([features(t or b"") for t in batch.column(batch.num_columns - 1).to_pylist()], float)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, public_tokenizer, shuffle_partitions, text_bytes
+from .common import Scratch, public_tokenizer, remembers, serve, shuffle_partitions, text_bytes
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -181,10 +181,12 @@ class ChunkEncoder(dict):
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+remembers("tokens", _ENCODERS.clear)
 
 
 def encoder_of(path: str) -> ChunkEncoder:
     """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
+    serve("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_bytes
+from .common import mix64, remembers, serve, text_bytes
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_~"
 BUCKETS = 1 << 18
@@ -72,10 +72,12 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _KNOWN: dict[int, dict[bytes, float]] = {}
+remembers("toxicity", _KNOWN.clear)
 
 
 def known_words(model: int) -> dict[bytes, float]:
     """The words whose value this Python worker remembers from task to task, of the model used last."""
+    serve("toxicity")
     if model not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[model] = {}

@@ -132,3 +132,12 @@ def test_window_hashes_are_the_polynomial():
 def test_a_cluster_needs_a_shared_folder(spark):
     assert common.free_name("_a", ["x", "_A"]) == "__a" and common.scratch_root(spark)
     assert mixing.targets_of(spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")).first()["target"] == 3.0
+
+
+def test_workers_forget_what_other_operators_remember():
+    words = common.worker_words()
+    assert words[b"a"] and b"a" in words
+    toxicity.known_words(5)[b"x"] = 1.0
+    assert not words and toxicity.known_words(5) == {b"x": 1.0}
+    common.worker_words()
+    assert toxicity.known_words(5) == {}
