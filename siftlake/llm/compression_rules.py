@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, text_bytes, window_hashes, worker_words
+from .common import WordHash, hash_words, in_slices, text_bytes, window_hashes, worker_words
 
 #: Length classes by bytes (below), with the lowest and highest ratio of compressed to plain bytes.
 BANDS = (
@@ -81,7 +81,7 @@ def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
         squeeze, cache = zstandard.ZstdCompressor(level=limits.level).compress, worker_words()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.split()

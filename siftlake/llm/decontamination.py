@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, serve
+from .common import free_name, in_slices, serve
 
 ERROR_RATE = 0.08
 GRAM = 5
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             serve("leaks")
             automaton, ready = build(part, error_rate)
-            for batch in batches:
+            for batch in in_slices(batches):
                 n = batch.num_columns
                 found = []
                 for whole, before in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):

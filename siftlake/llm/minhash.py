@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, hash_words, mix64, text_bytes, window_hashes, worker_words
+from .common import Scratch, WordHash, hash_words, in_slices, mix64, text_bytes, window_hashes, worker_words
 
 BUCKETS = 4
 MANTISSA = 10
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, factors = worker_words(), factors_of(bands)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t, size, cache) for t in batch.column(1).to_pylist()]
             n = np.array(list(map(len, sets)), np.int64)
             fa = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -156,7 +156,7 @@ class NearDuplicates:
         num, den = self.num, self.den
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_slices(batches):
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -173,7 +173,7 @@ class NearDuplicates:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = worker_words()
-            for batch in batches:
+            for batch in in_slices(batches):
                 data = [shingles(t, size, cache).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
@@ -185,7 +185,7 @@ class NearDuplicates:
         """Pairs of classes (id, component, n) of different components that prefix filtering leaves."""
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_slices(batches):
                 parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum(list(map(len, parts)))]).astype(np.int32)
                 flat = np.concatenate(parts) if parts else np.empty(0, np.int64)

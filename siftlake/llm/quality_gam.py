@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, serve, text_bytes
+from .common import free_name, in_slices, serve, text_bytes
 
 FEATURES = (
     "log_words", "word_length", "distinct_share", "repeat_share", "symbol_share", "upper_share", "bang_share", "bar_share",
@@ -165,7 +165,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("quality")
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.float64()))], ["doc_id", *keep, "features"])
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = (), into: str = "
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("quality")
-        for batch in batches:
+        for batch in in_slices(batches):
             if batch.num_rows:
                 x = np.array([features(t or b"") for t in batch.column(batch.num_columns - 1).to_pylist()], float)
                 kept = [batch.column(i) for i in range(batch.num_columns - 1)]

@@ -56,7 +56,7 @@ class ChunkEncoder(dict):
     all texts if the tokenizer's file does not cut as CHUNKED says.
     """
 
-    LIMIT = 700_000
+    LIMIT = 400_000
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:*%$&#|]*)")
     MARK = b"\xff"  # in no UTF-8 text
     END = b"\n"  # no chunk has a line end; the end id stands under it
@@ -192,7 +192,7 @@ def encoder_of(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _slices(batch: pa.RecordBatch, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about a bounded number of text bytes."""
     sizes = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64)
     part = np.cumsum(sizes) // budget

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, remembers, serve, text_bytes
+from .common import in_slices, mix64, remembers, serve, text_bytes
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_~"
 BUCKETS = 1 << 18
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(model.name())
-        for batch in batches:
+        for batch in in_slices(batches, 2_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist(), known))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(rows, "doc_id long, score double")
