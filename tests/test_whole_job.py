@@ -66,7 +66,8 @@ def test_hex_view_shows_any_bytes(spark):
         for k, v in texts.items():
             start = max(0, min(offset, len(v) - 1))
             part = v[start : start + length] if length else v[start:]
-            want |= {(k, start + i, part[i : i + 16].hex(" ").upper()) for i in range(0, len(part), 16)}
+            shown = lambda x: "".join(chr(c) if 32 <= c < 127 else "." for c in x)
+            want |= {(k, start + i, part[i : i + 16].hex(" ").upper(), shown(part[i : i + 16])) for i in range(0, len(part), 16)}
         rows = bytes_and_text.hex_view(df, "id", "data", offset, length).collect()
         assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
