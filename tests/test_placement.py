@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from siftlake.operators import cross, placement, security
+from siftlake.operators import cross, placement, security, similarity
 from siftlake.plans import placement as queries
 from siftlake.plans.registry import Tables
 
@@ -75,3 +75,24 @@ def test_embedded_executables(spark):
     assert set(got) == {1, 2, 3, 7} and len(got[7]) == 8
     hits = frame.select("file", F.explode(security.rule_hits(F.col("data"), security.RULES + security.signature_rules("TEST-MARK"))).alias("r")).select("file", "r.rule").collect()
     assert {(1, "pe_executable"), (3, "elf_executable")} <= {tuple(x) for x in hits}
+
+
+def test_vectors_without_rows_and_by_batches(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert similarity.pca_map(none, "vec_id", "embedding").count() == 0 and similarity.nearest(none, none, k=3).count() == 0
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in similarity.nearest(frame, frame.where("vec_id < 20"), k=5, block=7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+
+    for q, v in rows[:20]:
+        want = sorted(((-cosine(v, w), i) for i, w in rows if i != q))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [i for _, i in want]
