@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_rules, decontamination, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
+from . import compression_rules, decontamination, fill_in_middle, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
 from . import sql
 from .common import crc_fold, read_table
 
@@ -60,11 +60,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets that op5_mixing meets, by source."""
     return mixing.targets_of(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html, op11_fill_in_middle, mix_targets)}
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL, "mix_targets": mixing.TARGETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL, "mix_targets": mixing.TARGETS_SQL, "op11_fill_in_middle": fill_in_middle.SQL}
