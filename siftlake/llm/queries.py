@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, compression_rules, decontamination, fill_in_middle, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
+from . import chat_format, compression_rules, decontamination, fill_in_middle, hard_negatives, html_text, line_dedup, minhash, mixing, passage_dedup, quality_gam, token_output, toxicity
 from . import sql
 from .common import crc_fold, read_table
 
@@ -68,11 +68,15 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(spark, read_table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark, read_table(spark, sf_dir, "embeddings"), hard_negatives.shifted_labels(), F.col("vec_id") % 100 == 0)
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets that op5_mixing meets, by source."""
     return mixing.targets_of(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html, op11_fill_in_middle, op12_chat, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_passages, op4_decontamination, op5_mixing, op6_lines, op7_compression, op8_tokens, op9_quality, op10_html, op11_fill_in_middle, op12_chat, op13_hard_negatives, mix_targets)}
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL, "mix_targets": mixing.TARGETS_SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op12_chat": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": sql.MINHASH, "op3_passages": sql.PASSAGES, "op6_lines": line_dedup.SQL, "mix_targets": mixing.TARGETS_SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op12_chat": chat_format.SQL, "op13_hard_negatives": hard_negatives.SQL}
