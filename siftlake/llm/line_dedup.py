@@ -16,7 +16,8 @@ earliest line first; only lines which that one does not remove, few by far, are
 
 Defined cases: null text has no lines; lines without a word are kept, never compared, and stay where they are; a null
 doc_id sorts first; rows that repeat a doc_id are ordered by a hash of their text; rows equal in doc_id and text are one
-row for the order, so all of them keep or lose the same lines; an empty table gives no rows; extra columns are ignored.
+row for the order, so all of them keep or lose the same lines; a very long text is one row's work, which grows with
+its length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return chosen.select(F.struct("doc_id", "row", "no").alias("place"), "line")
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, _row and lines. The lines are an array before any join, so that no later step splits a text again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("lines"), F.xxhash64("text").alias("_row"))
+
+
 def half_of(b: Column) -> Column:
     """Characters of a line that stay outside its half, where the shorter line has b."""
     return F.floor(b / 2).cast("int")
@@ -68,13 +74,14 @@ def candidates(places: DataFrame) -> DataFrame:
 
 
 def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id, place, open and line of the given places; one pass over the documents."""
+    """id, place, open and line of the given places; one pass over the documents. Lines are picked from a document's
+    array by their number, so a row per picked line leaves and no copy of the array."""
     wanted = places.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("place", "id", "open")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "wanted")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_row"))
+    base = _split(docs)
     met = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_d"]) & (base["_row"] == wanted["_r"]))
-    lines = met.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    return lines.select("w.id", "w.place", "w.open", F.element_at("lines", F.col("w.place.no") + 1).alias("line")).dropDuplicates(["id"])
+    picked = F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["place"].alias("place"), w["open"].alias("open"), F.element_at("lines", w["place"]["no"] + 1).alias("line")))
+    return met.select(F.inline(picked)).dropDuplicates(["id"])
 
 
 def parts_of(able: DataFrame) -> DataFrame:
@@ -147,19 +154,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near and kept_text: the text without the dropped lines; a row per row of docs."""
     gone = judge_lines(docs)
     by_doc = gone.groupBy("place.doc_id", "place.row").agg(
-        F.collect_set("place.no").alias("gone"), F.sum((F.col("why") == "equal").cast("long")).alias("eq"), F.sum((F.col("why") == "near").cast("long")).alias("nr")
+        F.sort_array(F.collect_set("place.no")).alias("gone"), F.sum((F.col("why") == "equal").cast("long")).alias("eq"), F.sum((F.col("why") == "near").cast("long")).alias("nr")
     )
     by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "gone", "eq", "nr")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_row"))
+    base = _split(docs)
     joined = base.join(by_doc, base["doc_id"].eqNullSafe(by_doc["_d"]) & (base["_row"] == by_doc["_r"]), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # what stands between one dropped line and the next, so each line is moved once
+    n = F.size("gone")
+    begin = lambda j: F.when(j > 0, F.get("gone", j - 1) + 1).otherwise(0)
+    end = lambda j: F.when(j < n, F.get("gone", j)).otherwise(F.size("lines"))
+    between = F.transform(F.sequence(F.lit(0), n), lambda j: F.slice("lines", begin(j) + 1, end(j) - begin(j)))
+    kept = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(between)), "\n")
     return joined.select(
         "doc_id",
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("eq", F.lit(0)).cast("long").alias("n_equal"),
         F.coalesce("nr", F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce(F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept), F.lit("")).alias("kept_text"),
+        F.coalesce(kept, F.lit("")).alias("kept_text"),
     )
 
 

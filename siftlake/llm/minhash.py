@@ -20,7 +20,8 @@ shares no key with a chance of 1e-7.
 No step emits all pairs of a group; per key there is one row per class, and copies cost one row each.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; fewer words than a
-shingle make one shingle of all words; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
+shingle make one shingle of all words; a very long text is one row's work; of pairs with equal estimates the smaller hub
+is checked; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
 document and stay or go together; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -204,12 +205,16 @@ class NearDuplicates:
         prefix = by_id.select("id", "component", "n", "alone", F.posexplode("t").alias("i", "t"))
         prefix = prefix.select("id", "component", "n", (F.col("alone") + F.col("i") + 1).alias("pos"), F.col("t.token").alias("token"))
         prefix = self.scratch.save(prefix, "prefix")
+        # Of a pair, the smaller set has a shared shingle earlier still: its partner is no smaller, so more must be equal.
+        # Sets whose own shingles fill that much have none to offer, and a template's common shingles meet nothing.
+        short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den)) + 1
         x = prefix.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "pos")])
-        y = prefix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "pos")])
+        y = prefix.where(short).select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "pos")])
         need = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
-        sizes = (den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a"))
+        larger = (F.col("n_a") > F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
+        sizes = larger & (den * F.col("n_b") >= num * F.col("n_a"))
         early = (F.col("pos_a") <= F.col("n_a") - need + 1) & (F.col("pos_b") <= F.col("n_b") - need + 1)
-        met = x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & sizes & early)
+        met = x.join(y, (x["token"] == y["token"]) & (F.col("component_a") != F.col("component_b")) & sizes & early)
         return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
     def run(self) -> DataFrame:

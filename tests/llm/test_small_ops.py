@@ -299,3 +299,44 @@ def test_html_main_text(spark):
     got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[2]["n_chars"] == 0 and got[3]["n_chars"] == len(" ".join(("long, text " * 50_000).split()))
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_common_shingles_of_a_template_meet_nothing(spark):
+    """Pages of one template, each with words of its own that keep it just under the threshold."""
+    rng = random.Random(9)
+    common = [f"common{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        words = list(common)
+        for k in range(6):
+            words.insert(10 * k + 5 + rng.randrange(3), f"own{i}x{k}")
+        rows.append((i, " ".join(words)))
+    run = minhash.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, num=85, den=100)
+    sets = run.full_sets(spark.range(400).select("id"))
+    mixed = spark.createDataFrame([(i, i, 66) for i in range(400)], "id long, component long, n long")
+    assert run.late_pairs(mixed, sets).count() == 0
+    assert run.run().where("kept").count() == 400
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    rng = random.Random(10)
+    pool = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(pool, rng.randrange(35, 60)))) for i in range(120)]
+    run = minhash.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, num=70, den=100)
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    mixed = spark.createDataFrame([(i, i, len(s)) for i, s in sets.items()], "id long, component long, n long")
+    full = run.full_sets(spark.range(120).select("id"))
+    got = {tuple(sorted(r)) for r in run.verified(run.late_pairs(mixed, full), full).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_a_document_of_very_many_lines(spark):
+    """A third of the lines of one document repeat, a third are near an earlier one: rows grow with its lines only."""
+    rng, n = random.Random(12), 20_000
+    first = [f"{rng.getrandbits(160):040x}" for _ in range(n)]
+    near = [x[: (k := rng.randrange(40))] + "~" + x[k + 1 :] for x in first]
+    docs = spark.createDataFrame([(1, "\n".join(first + near + first)), (2, "\n".join(first[:1000]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert (got[1]["n_lines"], got[1]["n_equal"], got[1]["n_near"]) == (3 * n, n, n) and got[1]["kept_text"] == "\n".join(first)
+    assert got[2]["n_equal"] == 1000 and got[2]["kept_text"] == ""
