@@ -8,28 +8,37 @@ its siblings that score well enough or read like prose are kept, and their block
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are dropped before scoring,
 by element, by role, or by name: a class or id says so with its first or last word ("sidebar-left", "post-comments"),
 not with one in between ("story-related-stats"), and not where it only tells what the page has ("no-sidebar",
-"has-sidebar"). An element with such a name that holds the page's main heading or <main> and most of its text is a
-layout container and stays.
+"has-sidebar"). A name whose other words belong to page furniture as well ("related-posts") decides alone; one with
+words of its own ("related-work", "social-security") only together with the text: it drops what is mostly links or too
+short for prose, and leaves what reads like prose to the scores. An element with such a name that holds the page's main
+heading or <main> and most of its text is a layout container and stays. Text of math, buttons and embedded objects
+outside of forms and menus is part of its sentence. A header is dropped wherever it stands, an article's own with its
+title included.
 
 Defined cases: null, empty or text-free html gives an empty text; plain text without markup is one block; unclosed
-elements end with their parent or the page; quotes open a value only after '=', others are ordinary characters of the
-tag; a cut-off tag at the end is dropped; equal scores go to the earlier container. Nothing is cut by length.
+elements end with their parent or the page; end tags without an element are skipped, at no cost that grows with the
+page; quotes open a value only after '=', others are ordinary characters of the tag; a cut-off tag at the end is
+dropped; equal scores go to the earlier container; repeated rows give equal rows; a very long page is one row's work; an
+empty table gives no rows; extra columns are ignored, whatever their names. Nothing is cut by length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*)(?:>|$)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=>/\"']+|[\"'])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select".split())
 DROPPED = frozenset("head nav header footer aside form dialog menu".split()) | RAW
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -44,6 +53,12 @@ BAD_WORDS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related "
     "respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert skip".split()
 )
+FURNITURE = BAD_WORDS | frozenset(
+    "area articles back bar block body bottom box btn button buttons center col column component container content count feed form global group "
+    "head header icon icons inline inner item items js left legal link links list load main media message mobile module msg news outer "
+    "overlay page panel placeholder policy post posts primary prompt rail reader right row secondary section sticky site slot stories story "
+    "text thread tile title top unit user view wrap wrapper".split()
+)
 GOOD_WORDS = frozenset("article body content entry main post story text hentry blog column".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 TELLING = frozenset("no not has have with without is hide hides show shows toggle wp".split())
@@ -60,13 +75,18 @@ def says_bad(words: list[str]) -> bool:
     return bool(words) and words[0] not in TELLING and (words[0] in BAD_WORDS or words[-1] in BAD_WORDS)
 
 
+def furniture(words: list[str]) -> bool:
+    """Whether nothing in a class or id stands for content of its own."""
+    return all(w in FURNITURE or len(w) == 1 for w in words)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "dropped", "named", "score", "order")
+    __slots__ = ("tag", "parent", "children", "names", "dropped", "named", "sure", "score", "order")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str, order: int):
         self.tag, self.parent, self.children, self.score, self.order = tag, parent, [], 0.0, order
         self.names: frozenset[str] = frozenset()
-        self.dropped, self.named = tag in DROPPED, False
+        self.dropped, self.named, self.sure = tag in DROPPED, False, False
         if attributes and not self.dropped:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
@@ -79,7 +99,14 @@ class Node:
                 elif name in ("class", "id"):
                     found = [words_of(x) for x in html.unescape(value).split()]
                     self.names |= frozenset(w for x in found for w in x)
-                    self.named |= tag not in ("html", "body", "article", "main") and any(map(says_bad, found))
+                    if tag not in ("html", "body", "article", "main"):
+                        bad = [w for w in found if says_bad(w)]
+                        self.named |= bool(bad)
+                        self.sure |= any(map(furniture, bad))
+
+
+#: Characters from which text reads like prose, and the share of it in links up to which it does.
+LEAST_PROSE, MOST_LINKED = 80, 0.3
 
 
 def drop_named(root: Node) -> None:
@@ -91,19 +118,34 @@ def drop_named(root: Node) -> None:
         order.append(x)
         stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
     size: dict[int, int] = {}
+    linked: dict[int, int] = {}
     heads: dict[int, bool] = {}
     for x in reversed(order):
         inner = [c for c in x.children if isinstance(c, Node) and not c.dropped]
         size[id(x)] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(size[id(c)] for c in inner)
+        linked[id(x)] = size[id(x)] if x.tag == "a" else sum(linked[id(c)] for c in inner)
         heads[id(x)] = x.tag in ("h1", "main") or any(heads[id(c)] for c in inner)
     for x in order:
-        x.dropped |= x.named and not (heads[id(x)] and 2 * size[id(x)] > size[id(root)])
+        if x.named and not (heads[id(x)] and 2 * size[id(x)] > size[id(root)]):
+            prose = size[id(x)] >= LEAST_PROSE and linked[id(x)] < MOST_LINKED * size[id(x)]
+            x.dropped |= x.sure or not prose
 
 
 def parse(page: str) -> Node:
     """Tree of a page; children are nodes and strings in page order."""
     root = node = Node("#root", None, "", 0)
     at, end, order = 0, len(page), 0
+    open_: Counter[str] = Counter()  # open elements by name: what is not open need not be looked for
+
+    def leave(last: Node) -> Node:
+        """Closes everything up to a node; the node around it."""
+        x = node
+        while True:
+            open_[x.tag] -= 1
+            if x is last:
+                return last.parent or root
+            x = x.parent
+
     while at < end:
         m = TOKEN.match(page, at)
         if m is None:  # a '<' that opens nothing that can be read
@@ -123,28 +165,28 @@ def parse(page: str) -> Node:
             continue
         elif slash:
             tag = tag.lower()
-            up: Node | None = node
+            up: Node | None = node if open_[tag] > 0 else None
             while up is not None and up.tag != tag:
                 up = None if tag == "p" and up.tag in BLOCKS or up.tag in ("td", "th") and tag not in BLOCKS else up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                node = leave(up)
             elif tag == "br":
                 node.children.append("\n")
         else:
             tag = tag.lower()
             order += 1
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_["p"] > 0:
                 up = node
                 while up is not None and up.tag != "p" and up.tag not in BLOCKS:
                     up = up.parent
                 if up is not None and up.tag == "p":
-                    node = up.parent or root
-            if tag in SAME:
+                    node = leave(up)
+            if tag in SAME and any(open_[t] > 0 for t in SAME[tag]):
                 up, stop = node, BARRIER.get(tag, set())
                 while up is not None and up.tag not in SAME[tag] and up.tag not in stop:
                     up = up.parent
                 if up is not None and up.tag in SAME[tag]:
-                    node = up.parent or root
+                    node = leave(up)
             child = Node(tag, node, attributes, order)
             node.children.append(child)
             if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
@@ -153,6 +195,7 @@ def parse(page: str) -> Node:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = close.end() if close else (end if tag in ("script", "style") else at)
                 continue
+            open_[tag] += 1
             node = child
     return root
 
@@ -269,7 +312,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 200):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
