@@ -3,7 +3,6 @@
 import re
 from difflib import SequenceMatcher
 
-from siftlake.llm import html_text
 from siftlake.operators import relational, services
 from siftlake.plans import bytes_and_text
 
@@ -126,17 +125,3 @@ def test_input_types_of_long_inputs(spark):
     rows = [(k, bytearray(v)) for x in (inputs, short) for k, v in x.items()]
     df = spark.createDataFrame(rows, "want string, data binary")
     assert [r["want"] for r in df.collect()] == [r["kind"] for r in df.select(services.input_type(df["data"]).alias("kind")).collect()]
-
-
-def test_html_with_odd_quotes():
-    first, second, third = ("part %d, with commas, and of a length that counts as prose here." % i for i in (1, 2, 3))
-    whole = f"{first} {second} {third}"
-    for tag in ("<p title=it's>", '<p title="He said "hi" there">', '<p class=""x"">', "<p title='it's>", "<p it's>", '<p title="open>', "<p title=a='b>", '<p title = "a > b" lang=en>'):
-        for tail in ("", " don't", ' a " quote'):
-            page = f"<article><p>{first}</p>{tag}{second}</p><p>{third}{tail}</p></article>"
-            if tag in ('<p title="open>', "<p title='it's>") and ('"' in tail or "'" in tail):
-                continue  # a later quote may close the value
-            assert html_text.main_text(page) == whole + tail, (tag, tail)
-    assert html_text.main_text(f'<p title="open>{first} a " quote') == f'{first} a " quote'
-    assert html_text.main_text(f"<p>{first} <é {second}") == f"{first} <é {second}"
-    assert html_text.main_text(f"<p>{first}<b title='x") == first
