@@ -5,14 +5,14 @@ a passage's vector is the mean over its words; a linear softmax on it gives the
 and the softmax are trained together by Adagrad. Misspellings and unseen endings share most n-grams with known words.
 
 A text is scored passage by passage (every run of `width` words) and takes the highest probability, so that an insult in
-a long text is not averaged away. Labels belong to whole texts, so training starts from whole texts and goes on with
-the worst passage of each toxic text against passages of harmless ones.
+a long text is not averaged away. Labels belong to whole texts, so training starts from whole texts, each as the set of
+its words, in which a rare word counts as much as a frequent one, and goes on with the worst passage of each toxic text
+against passages of harmless ones.
 
-Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id) of
-any length, and of each at most `max_passages` passages: at first evenly spread ones; then a second fit takes, of every
-longer text, the passages that the first model (of whole texts only) finds worst among all of that text. Scoring covers every word of every
-text. A text's score is the maximum over its passages, so it rises with the number of passages; the threshold holds for
-the whole text, whatever its length.
+Fitting uses at most `max_rows` labelled texts per class (a bound on the sample, default 2,000, by hash of doc_id), and
+of each all its words and passages, whatever its length: texts come to the driver as numbers of words, 4 bytes a word.
+Scoring covers every word of every text. A text's score is the maximum over its passages, so it rises with the number of
+passages; the threshold holds for the whole text, whatever its length.
 
 Defined cases: null and empty text have one passage without words and get the score of the bias alone; labels without a
 document or null labels are not used; without both classes the score is the share of toxic labels (0 without labels);
@@ -135,17 +135,31 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
 
 
-class _Bags:
-    """Lists of words by row, and of subword buckets by word, as flat arrays."""
+class Corpus:
+    """Texts as numbers of words in one vocabulary, one text after another; the distinct words of each; and its passages,
+    runs of `width` words."""
 
-    def __init__(self, passages: list[list[bytes]]):
-        words = sorted({w for p in passages for w in p})
-        number = {w: i for i, w in enumerate(words)}
-        self.n_words = np.array(list(map(len, passages)), np.int64)
-        self.word_at = np.cumsum(self.n_words) - self.n_words
-        self.words = np.fromiter((number[w] for p in passages for w in p), np.int64, int(self.n_words.sum()))
-        self.grams, self.n_grams = subwords(words)
+    def __init__(self, vocabulary: list[bytes], words: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, n_distinct: np.ndarray, width: int):
+        self.words, self.distinct, self.n_distinct, self.width = words, distinct, n_distinct, width
+        self.distinct_at = np.cumsum(n_distinct) - n_distinct
+        self.grams, self.n_grams = subwords(vocabulary)
         self.gram_at = np.cumsum(self.n_grams) - self.n_grams
+        n_passages = -(-sizes // width)
+        self.text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), n_passages)
+        inside = np.arange(len(self.text_of)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)
+        self.n_words = np.minimum(width, np.repeat(sizes, n_passages) - inside * width).astype(np.int32)
+        self.word_at = np.cumsum(self.n_words, dtype=np.int64) - self.n_words
+        self.passage_of = np.repeat(np.arange(len(self.text_of), dtype=np.int32), self.n_words)
+
+    @staticmethod
+    def of(texts: list[tuple[list[bytes], np.ndarray]], width: int) -> Corpus:
+        """From each text's distinct words and its words as places in that list."""
+        number: dict[bytes, int] = {}
+        own = [np.fromiter((number.setdefault(w, len(number)) for w in vocabulary), np.int32, len(vocabulary)) for vocabulary, _ in texts]
+        joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int32)
+        count = lambda parts: np.array(list(map(len, parts)), np.int64)
+        words = joined([v[w] for v, (_, w) in zip(own, texts)])
+        return Corpus(list(number), words, count([w for _, w in texts]), joined(own), count(own), width)
 
     @staticmethod
     def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -153,10 +167,17 @@ class _Bags:
         return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def numbered(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a text, and its words as places in that list."""
+    number: dict[bytes, int] = {}
+    places = np.fromiter((number.setdefault(w, len(number)) for w in text.lower().split()), np.int32)
+    return list(number), places
+
+
 class _Net:
     """The table of vectors and the softmax, with Adagrad's sums."""
 
-    def __init__(self, bags: _Bags, trainable: np.ndarray, dims: int, rate: float, rng: np.random.Generator):
+    def __init__(self, bags: Corpus, trainable: np.ndarray, dims: int, rate: float, rng: np.random.Generator):
         self.bags, self.trainable, self.rate = bags, trainable, rate
         self.table = np.where(trainable[:, None], rng.uniform(-0.1, 0.1, (BUCKETS, dims)), 0.0)  # rare buckets stay at zero
         self.soft, self.bias = rng.uniform(-0.5, 0.5, (2, dims)), np.zeros(2)
@@ -191,14 +212,13 @@ class _Net:
 
 
 def fit(
-    passages: list[list[bytes]],
-    text_of: np.ndarray,
+    b: Corpus,
     toxic: np.ndarray,
     *,
-    width: int,
     dims: int = 8,
     text_epochs: int = 4,
     epochs: int = 12,
+    first_epochs: int = 3,
     text_steps: int = 48,
     steps: int = 100,
     rate: float = 0.3,
@@ -207,27 +227,31 @@ def fit(
     decay: float = 0.85,
     seed: int = 5,
 ) -> SubwordSoftmax:
-    """text_of: each passage's text, by number; toxic: each text's label.
+    """toxic: each text's label.
 
-    First whole texts are the bags, which finds the words that toxic texts share. Then the bags are passages: the worst
-    one of each toxic text against passages of harmless texts, `harmless` random ones for each and as many again of
-    those that score highest.
+    First whole texts are the bags, by their distinct words, which finds the words that toxic texts share. Then the bags
+    are passages: the worst one of each toxic text against passages of harmless texts, `harmless` random ones for each and
+    as many again of those that score highest.
     """
-    y = toxic[text_of].astype(int) if len(text_of) else np.empty(0, int)
+    width, text_of = b.width, b.text_of
+    y = toxic[text_of].astype(np.int8) if len(text_of) else np.empty(0, np.int8)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return SubwordSoftmax(np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), width)
-    rng, b = np.random.default_rng(seed), _Bags(passages)
-    everything = np.repeat(np.arange(len(y)), b.n_words)
-    pairs = np.unique(text_of[everything] * len(b.n_grams) + b.words)  # words by text
-    texts_with = np.zeros(BUCKETS, np.int64)
-    for part in np.split(pairs, np.searchsorted(pairs, np.arange(100, len(toxic), 100) * len(b.n_grams))):
-        w = part % len(b.n_grams)
-        grams = np.unique(np.repeat(part // len(b.n_grams), b.n_grams[w]) * BUCKETS + b.grams[b.ranges(b.gram_at[w], b.n_grams[w])])
-        texts_with += np.bincount(grams % BUCKETS, minlength=BUCKETS)
+    rng = np.random.default_rng(seed)
+    texts_with = np.zeros((2, BUCKETS), np.int64)  # by label
+    for label in (0, 1):
+        for part in np.array_split(np.flatnonzero(toxic == label), max(1, len(toxic) // 100)):
+            w = b.distinct[b.ranges(b.distinct_at[part], b.n_distinct[part])]
+            owner = np.repeat(np.arange(len(part)), b.n_distinct[part])
+            grams = np.unique(np.repeat(owner, b.n_grams[w]) * BUCKETS + b.grams[b.ranges(b.gram_at[w], b.n_grams[w])])
+            texts_with[label] += np.bincount(grams % BUCKETS, minlength=BUCKETS)
     least = max(2, min(min_texts, int(toxic.sum()) // 10))  # few labels, fewer texts to share a subword
-    net = _Net(b, texts_with >= least, dims, rate, rng)
-    del pairs, texts_with
+    net = _Net(b, texts_with.sum(0) >= least, dims, rate, rng)
+    n_texts = np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)[:, None]
+    shares, pooled = texts_with / n_texts, (texts_with.sum(0) + 0.5) / (n_texts.sum() + 1.0)
+    contrast = (shares[1] - shares[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n_texts).sum())
+    telling = np.add.reduceat(contrast[b.grams], b.gram_at) / (b.n_grams + PAD)  # of each word, in standard errors
 
     def rows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(rows)), b.n_words[rows]), b.words[b.ranges(b.word_at[rows], b.n_words[rows])]
@@ -236,76 +260,49 @@ def fit(
         """Log-odds of every passage; linear in the words, so each word is looked up once."""
         pull = net.table @ (net.soft[1] - net.soft[0])
         by_word = np.add.reduceat(pull[b.grams], b.gram_at) / (b.n_grams + PAD)
-        return np.bincount(everything, by_word[b.words], len(y)) / np.maximum(b.n_words, 1)
+        return np.bincount(b.passage_of, by_word[b.words], len(y)) / np.maximum(b.n_words, 1)
 
-    order = np.argsort(text_of, kind="stable")
-    first = np.searchsorted(text_of[order], np.arange(len(toxic) + 1))
     share = 0.5 / np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)
     for _ in range(text_epochs):
         for texts in np.array_split(rng.permutation(len(toxic)), max(1, min(len(toxic) // 8, text_steps))):
-            counts = first[texts + 1] - first[texts]
-            rows = order[b.ranges(first[texts], counts)]
-            owner, words = rows_of(rows)
-            net.step(np.repeat(np.arange(len(texts)), counts)[owner], words, toxic[texts].astype(int), share[toxic[texts].astype(int)])
+            owner = np.repeat(np.arange(len(texts)), b.n_distinct[texts])
+            words = b.distinct[b.ranges(b.distinct_at[texts], b.n_distinct[texts])]
+            net.step(owner, words, toxic[texts].astype(int), share[toxic[texts].astype(int)])
     bad, good = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    for _ in range(epochs):
+    for turn in range(epochs):
         net.table *= decay
-        z = scores()
+        # at first the passage with the word that tells toxic texts apart best, then the one that the net finds worst
+        z = np.maximum.reduceat(telling[b.words], b.word_at) if turn < first_epochs else scores()
         p = pd.Series(z[bad])
         worst = bad[p.groupby(text_of[bad]).idxmax().to_numpy()]
         many = min(len(good), harmless * len(worst))
         hard = good[np.argsort(-z[good], kind="stable")[:many]]
         rows = np.concatenate([worst, hard, rng.choice(good, many, replace=False)])
         for part in np.array_split(rng.permutation(rows), max(1, min(len(rows) // 16, steps))):
-            net.step(*rows_of(part), y[part], np.where(y[part] == 1, 4.0, 1.0))
+            net.step(*rows_of(part), y[part].astype(int), np.where(y[part] == 1, 4.0, 1.0))
     return SubwordSoftmax(net.table @ (net.soft[1] - net.soft[0]), float(net.bias[1] - net.bias[0]), width)
 
 
-def chosen_passages(text: bytes, width: int, most: int, model: SubwordSoftmax | None) -> list[list[bytes]]:
-    """The passages of a text that train: all, or of more than `most` the ones that the model finds worst, or evenly
-    spread ones where there is no model. Texts without words have none and train nothing."""
-    words = text.lower().split()
-    starts = np.arange(0, len(words), width)
-    if len(starts) > most and model is None:
-        starts = starts[np.arange(most) * len(starts) // most]
-    elif len(starts) > most:
-        z, _ = model.passages(words, np.array([len(words)]), known_words(model.name()))
-        starts = np.sort(np.argsort(-z[np.minimum(starts, len(z) - 1)], kind="stable")[:most] * width)
-    return [words[i : i + width] for i in starts.tolist()]
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, max_passages: int = 48, width: int = 6, **options) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", use: Column, max_rows: int = 2_000, width: int = 6, **options) -> SubwordSoftmax:
     """Fits on at most max_rows texts per class of the labelled rows that `use` (a condition on doc_id) admits."""
     known = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     part = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = part(0).unionByName(part(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * max_rows at most
 
-    def sample(model: SubwordSoftmax | None) -> tuple[tuple, bool]:
-        """What fit() takes, with the passages that the model chooses, and whether any text had more."""
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
-                    more = len(text.split()) > max_passages * width
-                    out += [(doc_id, y, b" ".join(p), more) for p in chosen_passages(text, width, max_passages, model)]
-                if out:
-                    ids, ys, texts, more = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(texts, pa.binary()), pa.array(more)], ["doc_id", "label", "passage", "more"])
-
-        table = rows.select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, label int, passage binary, more boolean").toPandas()
-        table = table.sort_values(["doc_id", "label", "passage"], kind="stable")
-        text_of, ids = pd.factorize(table["doc_id"])
-        toxic = table.groupby("doc_id")["label"].max().reindex(ids).to_numpy() if len(table) else np.empty(0)
-        more, passages = bool(table["more"].any()), [bytes(p).split() for p in table["passage"]]
-        del table
-        return (passages, text_of, toxic), more
-
-    found, more = sample(None)
-    if more:  # whole texts are enough to tell which passages of the long ones matter
-        found, _ = sample(fit(*found, width=width, **(options | {"epochs": 0})))
-    return fit(*found, width=width, **options)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            ids, texts, ys = (c.to_pylist() for c in batch.columns)
+            out = [(i, y, *numbered(t)) for i, t, y in zip(ids, texts, ys)]
+            if out:
+                ids, ys, words, places = zip(*out)
+                columns = [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(words, pa.list_(pa.binary())), pa.array([p.tobytes() for p in places], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "words", "places"])
+
+    table = rows.select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, label int, words array<binary>, places binary").toArrow().to_pylist()
+    table = sorted((r for r in table if r["words"]), key=lambda r: (r["doc_id"], r["label"], r["words"], r["places"]))  # texts without words train nothing
+    corpus = Corpus.of([(r["words"], np.frombuffer(r["places"], np.int32)) for r in table], width)
+    return fit(corpus, np.array([r["label"] for r in table], np.int64), **options)
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:

@@ -21,7 +21,7 @@ def test_toxicity_scores_equal_plain_python(spark):
     rows = [(i, prose(rng, rng.choice([1, 3, 6, 40, 900])) + (" foulword muck" if i % 2 else "")) for i in range(60)] + [(60, None), (61, ""), (62, " \n "), (None, "x"), (1, "repeated row"), (1, "repeated row")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(60, None), (77, 1)], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels, use=F.col("doc_id") % 3 != 0, max_passages=20)
+    model = toxicity.train(docs, labels, use=F.col("doc_id") % 3 != 0)
 
     def word(w):
         flat, n = toxicity.subwords([w])
@@ -56,6 +56,24 @@ def test_long_texts_train(spark):
     assert all((got[i] > 0.7) == bool(i % 2) for i in range(40, 80))
 
 
+def test_one_insult_in_a_long_text_is_found():
+    """All passages of a labelled text train: 120 texts of 3,000 words, half of them with one insult somewhere."""
+    rng = random.Random(4)
+    vocab = [*VOCAB, *(f"w{i}" for i in range(400))]
+
+    def texts():
+        for i in range(120):
+            words = [rng.choice(vocab) for _ in range(3_000)]
+            if i % 2:
+                words[rng.randrange(3_000)] = rng.choice(["foulword", "muckhead", "slimebag"])
+            yield " ".join(words).encode()
+
+    labels = np.arange(120) % 2
+    model = toxicity.fit(toxicity.Corpus.of([toxicity.numbered(t) for t in texts()], 6), labels)
+    for scores in (model.score(list(texts())), model.score(list(texts()))):
+        assert ((scores >= 0.7) == (labels == 1)).mean() > 0.97
+
+
 def test_subwords_do_not_depend_on_neighbours():
     words = [w.encode() for w in ["a", "abc", "(abc)", "überlang", "你好", "***", "x" * 50]]
     flat, n = toxicity.subwords(words)

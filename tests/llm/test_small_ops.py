@@ -279,7 +279,7 @@ def test_classifiers_hold_out(spark, name):
 
 
 def test_toxicity_edges(spark):
-    model = toxicity.fit([], np.empty(0, int), np.empty(0, int), width=6)
+    model = toxicity.fit(toxicity.Corpus.of([], 6), np.empty(0, int))
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert all(0 <= r["score"] < 0.5 for r in toxicity.score(docs, model).collect())
 
