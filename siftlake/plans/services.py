@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import parsers
 from ..operators import chains, services
-from ..sources import synth
+from ..sources import layout
 from .registry import Tables, query
 
 
@@ -70,21 +69,16 @@ def q_input_types(t: Tables) -> DataFrame:
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'log' AS family, printf('P%03d', i) AS src, printf('P%03d', i + 1) AS dst, i AS position, 'P000' AS head FROM range(0, 6) t(i)")
+@query("""WITH l AS (SELECT 'L' || strftime(ts, '%Y%m%d') || '-' || user_id // 100 AS image, ts, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' user ' || user_id || ' ' || event_type || ' event ' || event_id || ' ' || coalesce(props, '-') || chr(10) AS line
+FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT image, (sum(strlen(line)) + 1023)::BIGINT // 1024 AS n FROM l GROUP BY image)
+SELECT image, printf('P%05d', i) AS src, printf('P%05d', i + 1) AS dst, i::INT AS position, 'P00000' AS head FROM (SELECT image, unnest(range(n - 1)) AS i FROM n)""")
 def q_log_chain(t: Tables) -> DataFrame:
-    """Pieces of a log put back in order by time and by the lines that were cut; the SQL has the order they were cut in."""
-    log = synth.log_bytes(400)
-    cuts = list(range(0, len(log), 4096))
-    rows = []
-    for i, a in enumerate(cuts):
-        part = log[a : a + 4096]
-        stamps = [x.decode() for x in parsers.STAMP.findall(part)]
-        text = part.decode()
-        rows.append(("log", f"P{i:03d}", stamps[0], stamps[-1], text.split("\n")[0], text[text.rfind("\n", 0, len(text) - 1) + 1 :], 60.0))
-    frags = t.spark.createDataFrame(rows, "family string, fragment string, first_stamp string, last_stamp string, head_line string, tail_line string, interval double")
-    pairs = chains.log_pairs(frags, "family")
-    score = chains.log_confidence(F.col("gap"), F.col("interval"), F.col("tail_line"), F.col("head_line"))
-    return chains.greedy_chains(pairs.select("family", "src", "dst", score.alias("confidence")), "family", 0.0).drop("confidence")
+    """Pieces of 1,024 bytes of the logs of all events put back in order by time and by the lines that were cut; the SQL
+    has the order they were cut in."""
+    logs = layout.log_files(t.events).select("image", F.decode("data", "UTF-8").alias("text"))
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1024).cast("int"))
+    rows = logs.select("image", F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("text"), i * 1024 + 1, F.lit(1024)))).alias("i", "text"))
+    return chains.ordered_logs(rows.withColumn("fragment", F.format_string("P%05d", "i")), "image").drop("confidence")
 
 
 @query("""WITH f AS (SELECT vec_id % 25 AS image, vec_id AS fragment, vec_id % 8 AS first, vec_id * 3 % 8 AS last FROM embeddings) SELECT a.image, a.fragment::VARCHAR AS src, b.fragment::VARCHAR AS dst, b.first AS rst FROM f a JOIN f b ON a.image = b.image AND b.first = (a.last + 1) % 8 AND a.fragment <> b.fragment""")

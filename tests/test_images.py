@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from siftlake.functions import parsers as P
 from siftlake.functions.fixed import CLUSTER
 from siftlake.operators import carving as C
-from siftlake.operators import directories
-from siftlake.sources import images, synth
+from siftlake.operators import directories, reconstruct
+from siftlake.sources import images, layout, synth
 
 
 def test_scalar_parsers():
@@ -93,7 +93,7 @@ def test_image_classes_match_truth(spark, tmp_path):
 
 def test_fragments_do_not_mix_families_and_copies_are_found(spark):
     image, truth = synth.build_image()
-    clusters = synth.image_frame(spark, image)
+    clusters = C.with_image(synth.image_frame(spark, image))
     classified = C.classify(clusters)
     frags = C.duplicate_fragments(C.fragments(classified)).cache()
     owner = {c: name for name, _, _, places in truth.files for c in places if c is not None}
@@ -106,10 +106,13 @@ def test_fragments_do_not_mix_families_and_copies_are_found(spark):
 
 
 def test_placement_votes_are_right(spark):
-    from siftlake import plans
-
-    places = next(p for n, _, _, p in synth.build_image()[1].files if n == "annual report.pdf")
-    rows = plans.QUERIES["q_image_placement"](spark, "").collect()
+    image, truth = synth.build_image()
+    places = next(p for n, _, _, p in truth.files if n == "annual report.pdf")
+    clusters = C.with_image(synth.image_frame(spark, image))
+    classified = C.classify(clusters).cache()
+    frags = C.fragments(classified).cache()
+    tails, entries = reconstruct.pdf_tails(reconstruct.fragment_bytes(frags.where("family = 'pdf'"), clusters))
+    rows = reconstruct.placed_by_index(frags, classified, "pdf_objects", "number", tails, entries).collect()
     assert {(r["logical"], r["cluster"]) for r in rows} == set(enumerate(places))
 
 
@@ -117,9 +120,42 @@ def test_range_read_and_validators(spark):
     image, _ = synth.build_image()
     clusters = synth.image_frame(spark, image)
     assert bytes(images.read_range(clusters, 4000, 300).first()["data"]) == image[4000:4300]
-    from siftlake import plans
-
-    got = {(r["file"], r["category"]): r["status"] for r in plans.QUERIES["q_validate"](spark, "").collect()}
+    rng = np.random.default_rng(7)
+    pdf, archive, photo = synth.pdf_bytes(3), synth.zip_bytes(rng, 3), synth.jpeg_bytes(rng, 9000)
+    files = [("ok.pdf", "pdf", pdf), ("cut.pdf", "pdf", pdf[:-150]), ("ok.zip", "zip", archive), ("bad.zip", "zip", archive[:900] + bytes(40) + archive[940:]), ("ok.jpg", "jpeg", photo), ("cut.jpg", "jpeg", photo[:-2]), ("ok.db", "sqlite", synth.sqlite_bytes(50)), ("a.log", "log", synth.log_bytes(20)), ("b.bin", "blob", b"\0\1")]
+    frame = spark.createDataFrame([(n, k, bytearray(d)) for n, k, d in files], "file string, kind string, data binary")
+    got = {(r["file"], r["category"]): r["status"] for r in C.summarise_checks(C.validate(frame, "file", "kind", "data"), "file").collect()}
     assert got["ok.pdf", "parser"] == "pass" and got["cut.pdf", "structural"] == "partial"
     assert got["ok.zip", "checksum"] == "pass" and got["bad.zip", "checksum"] == "fail"
     assert got["cut.jpg", "structural"] == "partial" and got["b.bin", "structural"] == "not_available"
+    assert got["ok.db", "parser"] == got["a.log", "structural"] == "pass"
+
+
+def test_layout_places_every_cluster_once(spark):
+    """Several images at once: no two clusters at one place, the bytes of each where the truth says, directories first."""
+    sizes = [("a", f"f{i}", i * 3000 % 90_000 + (i % 4 > 0)) for i in range(40)] + [("b", "only", 4096), ("c", "none", 0), ("d", "long", 700_000)]
+    data = {(i, f): bytes((k * 7 + n * 13) % 251 + 1 for k in range(n)) for i, f, n in sizes}
+    files = spark.createDataFrame([(i, f, f"{f} name.bin", False, bytearray(data[i, f])) for i, f, _ in sizes], "image string, file string, name string, deleted boolean, data binary")
+    clusters, truth = layout.lay_out(files, damaged=F.col("image") == "a")
+    found = {}
+    for r in clusters.collect():
+        assert (r["image"], r["cluster"]) not in found and len(r["data"]) == CLUSTER
+        found[r["image"], r["cluster"]] = bytes(r["data"])
+    rows = truth.collect()
+    assert {(r["image"], r["file"], r["logical"]) for r in rows} == {(i, f, k) for i, f, n in sizes for k in range(-(-n // CLUSTER))}
+    for r in rows:
+        part = data[r["image"], r["file"]][r["logical"] * CLUSTER : (r["logical"] + 1) * CLUSTER].ljust(CLUSTER, b"\0")
+        assert found[r["image"], r["cluster"]] == (bytes(CLUSTER) if r["lost"] else part)
+    assert any(r["lost"] for r in rows) and not any(r["lost"] for r in rows if r["image"] != "a")
+    for image in "abd":
+        assert sorted(c for i, c in found if i == image) == list(range(max(c for i, c in found if i == image) + 1))
+    listed = C.directory_entries(C.classify(clusters), clusters).where("image = 'a'").collect()
+    first = {r["file"]: r["cluster"] for r in rows if r["image"] == "a" and r["logical"] == 0 and not r["copy"]}
+    assert {r["name"].split()[0]: r["image_cluster"] for r in listed} == first
+
+
+def test_logs_of_several_images(spark):
+    from siftlake import plans
+
+    rows = plans.QUERIES["q_image_logs"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 30 and all(r["missing"] == 0 and r["sha256"] for r in rows)
