@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chains, services
 from ..sources import layout
+from . import images
 from .registry import Tables, query
 
 
@@ -69,15 +70,14 @@ def q_input_types(t: Tables) -> DataFrame:
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT 'L' || strftime(ts, '%Y%m%d') || '-' || user_id // 100 AS image, ts, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' user ' || user_id || ' ' || event_type || ' event ' || event_id || ' ' || coalesce(props, '-') || chr(10) AS line
-FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT image, (sum(strlen(line)) + 1023)::BIGINT // 1024 AS n FROM l GROUP BY image)
+@query(f"""WITH {images._LOG}, n AS (SELECT image, (size + 4095) // 4096 AS n FROM files)
 SELECT image, printf('P%05d', i) AS src, printf('P%05d', i + 1) AS dst, i::INT AS position, 'P00000' AS head FROM (SELECT image, unnest(range(n - 1)) AS i FROM n)""")
 def q_log_chain(t: Tables) -> DataFrame:
-    """Pieces of 1,024 bytes of the logs of all events put back in order by time and by the lines that were cut; the SQL
+    """Pieces of 4,096 bytes of the logs of all events put back in order by time and by the lines that were cut; the SQL
     has the order they were cut in."""
     logs = layout.log_files(t.events).select("image", F.decode("data", "UTF-8").alias("text"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1024).cast("int"))
-    rows = logs.select("image", F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("text"), i * 1024 + 1, F.lit(1024)))).alias("i", "text"))
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 4096).cast("int"))
+    rows = logs.select("image", F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("text"), i * 4096 + 1, F.lit(4096)))).alias("i", "text"))
     return chains.ordered_logs(rows.withColumn("fragment", F.format_string("P%05d", "i")), "image").drop("confidence")
 
 
