@@ -12,7 +12,8 @@ Items are taken in shards of at most `shard_bytes` of text, so what is sent to t
 through the shards one after another. Nothing else is limited: every hit is followed up.
 
 Defined cases: null or empty text leaks nothing; items without a letter or digit, or null, match nothing; equal items
-are all reported; repeated rows get equal results; an empty table on either side gives no leaks; extra columns are
+are all reported; repeated rows get equal results; there are no ties, as every match counts; a very long text is one
+row's work; an empty table on either side gives no leaks; extra columns are
 ignored by `find_leaks` and kept by `drop_leaks`.
 """
 

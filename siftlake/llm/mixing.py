@@ -23,8 +23,8 @@ own row and a few numbers of its source, so `mix` joins one row per source and n
 
 Defined cases: null text has size 0; documents of size 0 are kept once where their source has words, and otherwise
 dropped; null source is a source of its own, ordered last; a source without words has target 0; an empty table gives no
-rows; rows equal in doc_id and text get equal copies, and none of them is repeated if all together do not fit; extra
-columns stay out of the result of `mix_plan` and are kept by `mix`.
+rows; rows equal in doc_id and text get equal copies, and none of them is repeated if all together do not fit, so
+there are no other ties in the order by hash; a very long text is one row with a large size; extra columns stay out of the result of `mix_plan` and are kept by `mix`.
 """
 
 from __future__ import annotations

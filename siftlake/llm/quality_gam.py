@@ -10,7 +10,8 @@ their features go to the driver. Features come from the whole text and nothing e
 
 Defined cases: null and empty text have all-zero features and get a score like any other; labels without a document or
 with a null label are not used; if the labels have one class or none, the score is that share everywhere (0.5 without
-labels); repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
+labels); repeated rows get equal scores, and scores that tie stay tied, as no order of rows is used; a very long text is
+one row's work; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -159,3 +159,11 @@ def test_workers_forget_what_other_operators_remember():
     assert not words and toxicity.known_words(5) == {b"x": 1.0}
     common.worker_words()
     assert toxicity.known_words(5) == {}
+
+
+def test_quality_of_empty_tables_and_very_long_texts(spark):
+    model = quality_gam.fit(np.zeros((0, len(quality_gam.FEATURES))), np.zeros(0))
+    docs = spark.createDataFrame([(1, "word " * 500_000), (2, None), (2, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = quality_gam.score(docs, model).collect()
+    assert len(got) == 3 and {r["score"] for r in got} == {0.5}
+    assert quality_gam.score(docs.where("false"), model).count() == 0
