@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last keep the columns of `documents`.
+
+Defined cases, of every stage, as its operator has them: a null or empty text is scored as one without words by `quality`,
+linked with nothing by `near_duplicates`, leaks nothing, has size 0 in `mix_sources` (kept once where its source has
+words) and is the end id alone in `tokens`; a null doc_id passes every stage and comes first in the token files; very
+long texts are one row's work; rows that repeat a doc_id stay or go together as near duplicates, count one by one
+elsewhere; of near duplicates the smallest doc_id stays, and the mixture orders documents by a hash of id and text; an empty table gives no rows in any stage; extra columns, whatever
+their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
