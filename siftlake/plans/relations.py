@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import placement
+from ..operators import fragment_index, placement
 from ..operators import relational as R
 from ..operators import similarity as M
+from ..sources.shared import SharedTables
 from .registry import Tables, query
 
 
@@ -39,13 +40,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
 SELECT query_id, vec_id, cosine, rank, CASE WHEN cosine >= 0.97 AND same THEN 'STRONG' WHEN cosine >= 0.92 THEN 'POSSIBLE' WHEN cosine >= 0.8 THEN 'WEAK' ELSE 'NONE' END AS label FROM r WHERE rank <= 12""")
 def q_dna_similar(t: Tables) -> DataFrame:
     """The twelve most similar vectors of each query vector (those whose id is divisible by 20)."""
-    found = M.nearest(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), k=12)
+    found = fragment_index.nearest(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), k=12)
     labels = t.embeddings.select("vec_id", "label")
     both = found.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     label = S.dna_label(F.col("cosine"), F.lit(0.0), F.col("label") == F.col("own"), F.lit(False))
     return both.select("query_id", "vec_id", "cosine", "rank", label.alias("label"))
 
 
+@query("""WITH b AS (SELECT doc_id, source, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents WHERE text <> ''), c AS (SELECT doc_id, source, byte, count(*) AS n FROM b GROUP BY ALL),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS share FROM c), v AS MATERIALIZED (SELECT doc_id, byte, sqrt(share) AS w FROM s),
+f AS (SELECT doc_id, source, -sum(share * log2(share)) AS e FROM s GROUP BY doc_id, source),
+p AS (SELECT a.doc_id AS query_id, b.doc_id AS vec_id, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.byte = b.byte AND a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p),
+x AS (SELECT r.*, round(abs(a.e - b.e), 6) AS entropy_gap, a.source IS NOT DISTINCT FROM b.source AS same, a.e > 7.5 AND b.e > 7.5 AS random FROM r JOIN f a ON a.doc_id = query_id JOIN f b ON b.doc_id = vec_id WHERE rank <= 12)
+SELECT query_id, vec_id, cosine, rank, entropy_gap, CASE WHEN random AND cosine >= 0.8 THEN 'WEAK' WHEN cosine >= 0.97 AND entropy_gap <= 0.2 AND same THEN 'STRONG' WHEN cosine >= 0.92 AND entropy_gap <= 0.5 THEN 'POSSIBLE' WHEN cosine >= 0.8 THEN 'WEAK' ELSE 'NONE' END AS label FROM x""")
+def q_dna_documents(t: Tables) -> DataFrame:
+    """The twelve documents most like each query document (ids divisible by 20) by the bytes they are made of."""
+    prints = fragment_index.fingerprints(t.documents.select("doc_id", "source", F.col("text").cast("binary").alias("data")), "doc_id", "data")
+    prints = SharedTables(t.spark, "prints").save(prints)
+    return fragment_index.similar(prints, prints.where("doc_id % 20 = 0"), k=12, id_col="doc_id", family="source")
+
+
 @query()
 def q_pca(t: Tables) -> DataFrame:
     return M.pca_map(t.embeddings, "vec_id", "embedding")

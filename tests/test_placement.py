@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from siftlake.operators import cross, placement, security, similarity
+from siftlake.operators import cross, fragment_index, placement, security, similarity
 from siftlake.plans import placement as queries
 from siftlake.plans.registry import Tables
 
@@ -79,14 +79,14 @@ def test_embedded_executables(spark):
 
 def test_vectors_without_rows_and_by_batches(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert similarity.pca_map(none, "vec_id", "embedding").count() == 0 and similarity.nearest(none, none, k=3).count() == 0
+    assert similarity.pca_map(none, "vec_id", "embedding").count() == 0 and fragment_index.nearest(none, none, k=3).count() == 0
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
     try:
-        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in similarity.nearest(frame, frame.where("vec_id < 20"), k=5, block=7).collect()}
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in fragment_index.nearest(frame, frame.where("vec_id < 20"), k=5, block=7).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
