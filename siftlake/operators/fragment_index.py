@@ -1,9 +1,10 @@
 """Fingerprints of artefacts and an exact index of vectors: cells around pivots, cut into rings and blocks of bounded size.
 
 Vectors of one direction are one class, so copies cost nothing. Pivots are fitted on a bounded sample; every class is
-indexed by its nearest pivot and its distance to it (a ring). A query first meets a few rings around itself, which bounds
-how far its partners can be; the triangle inequality then names the rings that can hold a nearer one, and only their
-blocks are met. No ring that could matter is left out, so the result is that of all pairs."""
+indexed by its nearest pivot and its distance to it (a ring; thin rings that follow one another are one band). A query
+first meets a few bands around itself, which bounds how far its partners can be; the triangle inequality then names the
+rings that can hold a nearer one, and only blocks of their bands are met. No ring that could matter is left out, so the
+result is that of all pairs."""
 
 from __future__ import annotations
 
@@ -47,10 +48,20 @@ def fingerprints(artefacts: DataFrame, id_col: str, data: str) -> DataFrame:
 
 def _units(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """id, unit. Rows without an id, and vectors that are null, zero or not finite, take no part."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("norm")).where("id is not null and norm > 0 and norm < double('infinity')")
-    return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("v"))
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            use = (norm > 0) & np.isfinite(norm)
+            unit = x[use] / norm[use][:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(use)), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "unit"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.where("id is not null and size(v) > 0").mapInArrow(scale, "id long, unit array<double>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -85,6 +96,20 @@ def first_rings(counts: np.ndarray, least: int) -> np.ndarray:
     return wide
 
 
+def bands(counts: np.ndarray, block: int) -> np.ndarray:
+    """Where bands begin, in the row of all rings of all pivots: rings of a pivot that follow one another are one band until
+    it holds a block."""
+    starts = []
+    for p, row in enumerate(counts):
+        held = block
+        for r, n in enumerate(row):
+            if held >= block or r == 0:
+                starts.append(p * len(row) + r)
+                held = 0
+            held += n
+    return np.array(starts)
+
+
 def reachable(d: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """(query, pivot, ring): whether a vector of the ring can lie within the radius of the query. d: distances of queries
     to pivots."""
@@ -107,11 +132,11 @@ def _pairs(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 def _meet(routed: DataFrame, index: DataFrame, parts: int, k: int) -> DataFrame:
     """query, rep, cosine, place: the k best of the blocks that each query is sent to."""
-    keys = ["pivot", "ring", "block"]
+    keys = ["band", "block"]
     sent = routed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     wanted = sent.select(*keys, F.col("part").alias("of")).distinct()
     asked = index.join(wanted, keys).select(*(F.col(c).alias(f"{c}_") for c in keys), "of", "rep", "unit")
-    both = sent.groupBy(*keys, "part").cogroup(asked.groupBy("pivot_", "ring_", "block_", "of"))
+    both = sent.groupBy(*keys, "part").cogroup(asked.groupBy("band_", "block_", "of"))
     found = both.applyInArrow(lambda left, right: _pairs(left, right, k), "query long, rep long, cosine double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "rep"))
     return found.withColumn("place", place).where(F.col("place") <= k)
@@ -122,9 +147,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, block: int = 2048
     Ids are unique, vectors of equal length; see _units for those that take no part. At most `sample` vectors come to the
     driver, and one count for each (pivot, ring)."""
     spark, more = vectors.sparkSession, k + 1
-    members, asking = _units(vectors, id_col, vector), _units(queries, id_col, vector)
     save = lambda df, name: SharedTables(spark, name).save(df)
+    members, asking = save(_units(vectors, id_col, vector), "units"), _units(queries, id_col, vector)
     reps = save(members.groupBy("unit").agg(F.min("id").alias("rep")), "classes")
+    # a cell holds a block at least, on average
+    pivots = min(pivots, 1 + reps.count() // block)
     picked = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow()
     if not picked.num_rows:
         return asking.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("cosine"), F.lit(0).cast("long").alias("rank")).where(F.lit(False))
@@ -136,13 +163,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, block: int = 2048
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1), pa.int32()), pa.array((d.min(1) * RINGS).astype(np.int32))], ["rep", "unit", "pivot", "ring"])
 
     placed = save(reps.select("rep", "unit").mapInArrow(near, "rep long, unit array<double>, pivot int, ring int"), "cells")
-    cells = placed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros((len(centres), 2 * RINGS + 2), np.int64)
-    for row in cells.collect():  # pivots times rings at most
+    for row in placed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n")).collect():  # pivots times rings at most
         counts[row["pivot"], row["ring"]] = row["n"]
-    blocks, wide = -(-counts // block), first_rings(counts, more)
-    sizes = cells.select("pivot", "ring", F.ceil(F.col("n") / block).alias("blocks"))
-    index = placed.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    starts, wide = bands(counts, block), first_rings(counts, more)
+    blocks = -(-np.add.reduceat(counts.ravel(), starts) // block)
+    band = np.searchsorted(starts, np.arange(counts.size), side="right") - 1
+    plan = [(int(p), int(r), int(g), int(blocks[g])) for p, r in np.argwhere(counts) for g in [band[p * counts.shape[1] + r]]]
+    plan = spark.createDataFrame(plan, "pivot int, ring int, band int, blocks int")
+    index = placed.join(F.broadcast(plan), ["pivot", "ring"])  # pivots times rings at most
+    index = index.select("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "unit")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,19 +183,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, block: int = 2048
                 off = np.abs(np.arange(counts.shape[1])[None, :] - home[:, None])
                 first = np.zeros((len(d), *counts.shape), bool)
                 first[np.arange(len(d)), own] = off <= wide[own, home][:, None]
-                # without a bound: one block of each ring around the query (-2), or all of all rings (null)
+                # without a bound: one block of each band around the query (-2), or all of all bands (null)
                 open_ = np.where(np.isnan(bound), 2.0, np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isnan(bound), 1, bound) + SLACK)))
                 to = np.where((bound == -2)[:, None, None], first, reachable(d, open_)) & (counts > 0)
-                at, pivot, ring = np.nonzero(to)
-                many = np.where(bound[at] == -2, 1, blocks[pivot, ring])
+                at, to_band = np.nonzero(np.logical_or.reduceat(to.reshape(len(d), -1), starts, axis=1))
+                many = np.where(bound[at] == -2, 1, blocks[to_band])
                 row = np.repeat(np.arange(len(at)), many)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 for i in range(0, len(row), 2048):
                     r = row[i : i + 2048]
                     rows = batch.select(["id", "unit"]).take(pa.array(at[r]))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int32()) for x in (pivot[r], ring[r], number[i : i + 2048]))], ["id", "unit", "pivot", "ring", "block"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to_band[r], pa.int32()), pa.array(number[i : i + 2048], pa.int32())], ["id", "unit", "band", "block"])
 
-    schema = "id long, unit array<double>, pivot int, ring int, block int"
+    schema = "id long, unit array<double>, band int, block int"
     asked = save(asking.groupBy("unit").agg(F.min("id").alias("id")), "queries")
     parts = max(1, -(-asked.count() // block))
     early = _meet(asked.withColumn("bound", F.lit(-2.0)).select("id", "unit", "bound").mapInArrow(route, schema), index, parts, more)
