@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,13 @@ WEIGHTS = {"header": 10, "eof": 5, "startxref": 5, "xref_offsets": 15, "trailer"
 # End of fixed values.
 
 
-def walk(edges: DataFrame, roots: DataFrame, most: int = 30) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(group, node, depth) of all nodes that roots (group, node) reach over edges (group, parent, child), each at its
-    least depth, `most` levels deep at most; circles end where they close. A level is one join with the nodes found last."""
+    least depth, however deep, or down to `most` levels where a view asks for that; circles end where they close. A level is one join with the nodes found last."""
     tables, done = SharedTables(edges.sparkSession, "walk"), SharedTables(edges.sparkSession, "walked")
     level = roots.select("group", "node", F.lit(0).alias("depth")).distinct()
     found = done.save(level)
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         reached = found.where(F.col("depth") == depth - 1).select("group", F.col("node").alias("parent")).join(edges, ["group", "parent"])
         fresh = tables.save(reached.select("group", F.col("child").alias("node")).distinct().join(found.select("group", "node"), ["group", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():

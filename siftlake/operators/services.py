@@ -110,13 +110,16 @@ def outlook(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     if one of about the size does, LOW if any of the family is free, else UNKNOWN; with the eight best candidates.
 
     Candidates of one family, size and kind rank alike, so their eight smallest ids stand for all of them, and each length
-    of a family is judged once."""
-    kinds = candidates.groupBy("family", "size", "structural").agg(F.slice(F.array_sort(F.collect_set("candidate")), 1, 8).alias("ids"))
-    met = gaps.select("family", "length").distinct().join(kinds, "family")
+    of a family is judged once. Only the eight best of a length are ever gathered; the rest goes before the shuffle."""
+    first = Window.partitionBy("family", "size", "structural").orderBy("candidate")
+    kinds = candidates.select("family", "size", "structural", "candidate").distinct().withColumn("i", F.row_number().over(first)).where(F.col("i") <= 8)
+    met = gaps.select("family", "length").distinct().join(kinds.drop("i"), "family")
     off = F.abs(F.col("size") - F.col("length"))
     rank = F.when(F.col("structural") & (F.col("size") <= F.col("length")), 3).when(off <= 0.1 * F.col("length"), 2).otherwise(1)
-    items = F.transform("ids", lambda i: F.struct((-rank).alias("rank"), off.alias("off"), i.alias("candidate")))
-    best = met.groupBy("family", "length").agg(F.max(rank).alias("level"), F.slice(F.array_sort(F.flatten(F.collect_list(items))), 1, 8).alias("best"))
+    judged = met.select("family", "length", rank.alias("rank"), off.alias("off"), "candidate")
+    place = F.row_number().over(Window.partitionBy("family", "length").orderBy(F.desc("rank"), "off", "candidate"))
+    eight = judged.withColumn("i", place).where(F.col("i") <= 8)
+    best = eight.groupBy("family", "length").agg(F.max("rank").alias("level"), F.array_sort(F.collect_list(F.struct("i", "candidate"))).alias("best"))
     level = F.when(F.col("level") == 3, "HIGH").when(F.col("level") == 2, "MEDIUM").when(F.col("level") == 1, "LOW").otherwise("UNKNOWN")
     none = F.array().cast(f"array<{dict(candidates.dtypes)['candidate']}>")
     found = F.coalesce(F.transform("best", lambda x: x["candidate"]), none)

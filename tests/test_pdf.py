@@ -26,3 +26,9 @@ def test_verdicts(spark):
     assert score["stream", "streams"] == 0.75 and got["stream"]["integrity"] < 100
     assert score["treeless", "page_tree"] == 0 and got["treeless"]["status"] == "FRAGMENT_ONLY"
     assert got["noise"]["status"] == got["empty"]["status"] == "UNRECOVERABLE" and score["whole", "render"] is None
+
+
+def test_walk_has_no_depth_limit(spark):
+    edges = [(1, i, i + 1) for i in range(34)] + [(1, 34, 0)]
+    found = pdf.walk(spark.createDataFrame(edges, "group long, parent long, child long"), spark.createDataFrame([(1, 0)], "group long, node long"))
+    assert {(r["node"], r["depth"]) for r in found.collect()} == {(i, i) for i in range(35)}
