@@ -69,13 +69,14 @@ def reranked(files: DataFrame, keywords: tuple[str, ...], weights: Mapping[str,
 
 
 def card(counts: DataFrame, key: str) -> DataFrame:
-    """A fragment's card from its byte counts (key, byte 0..255, n): size, a histogram of 32 bins as shares, printable share
-    and entropy. Bins meet before the fragments do."""
+    """A fragment's card from its byte counts (key, byte 0..255, n): size, a histogram of 32 bins as shares and as counts,
+    printable share and entropy. Bins meet before the fragments do; shares are one division of whole numbers."""
     total = F.sum("n").over(Window.partitionBy(key))
     rows = counts.withColumn("total", total)  # of 256 rows per key at most
     p = F.col("n") / F.col("total")
     printable = F.col("byte").between(32, 126) | F.col("byte").isin(9, 10, 13)
-    bins = rows.groupBy(key, F.floor(F.col("byte") / 8).cast("int").alias("bin")).agg(F.sum(p).alias("share"), F.sum(F.when(printable, p).otherwise(0.0)).alias("printable"), F.sum(-p * F.log2(p)).alias("entropy"), F.first("total").alias("size"))
-    filled = bins.groupBy(key).agg(F.first("size").alias("size"), F.round(F.sum("printable"), 6).alias("printable"), F.round(F.sum("entropy"), 6).alias("entropy"), F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0.0)), 6))
-    return filled.select(key, "size", "printable", "entropy", every.alias("bins"))
+    bins = rows.groupBy(key, F.floor(F.col("byte") / 8).cast("int").alias("bin")).agg(F.sum("n").alias("count"), F.sum(F.when(printable, F.col("n")).otherwise(0)).alias("printable"), F.sum(-p * F.log2(p)).alias("entropy"), F.first("total").alias("size"))
+    filled = bins.groupBy(key).agg(F.first("size").alias("size"), F.round(F.sum("printable") / F.first("size"), 6).alias("printable"), F.round(F.sum("entropy"), 6).alias("entropy"), F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    filled = filled.withColumn("counts", every)
+    return filled.select(key, "size", "printable", "entropy", F.transform("counts", lambda x: F.round(x / F.col("size"), 6)).alias("bins"), "counts")

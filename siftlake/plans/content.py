@@ -66,15 +66,17 @@ def q_rerank(t: Tables) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT page_id, ('0x' || unnest(regexp_extract_all(hex(encode(html)), '..')))::INT AS byte FROM pages), c AS (SELECT page_id, byte, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY page_id) AS p, sum(n) OVER (PARTITION BY page_id) AS size FROM c),
-g AS (SELECT page_id, byte // 8 AS bin, sum(p) AS share FROM s GROUP BY ALL), k AS (SELECT page_id, unnest(range(32)) AS bin FROM (SELECT DISTINCT page_id FROM c)),
-h AS (SELECT k.page_id, string_agg(round(1000 * coalesce(share, 0))::INT, ' ' ORDER BY k.bin) AS bins FROM k LEFT JOIN g ON g.page_id = k.page_id AND g.bin = k.bin GROUP BY k.page_id)
-SELECT page_id, max(size)::BIGINT AS size, round(sum(CASE WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN p ELSE 0 END), 6) AS printable, round(sum(-p * log2(p)), 6) AS entropy, any_value(bins) AS bins FROM s JOIN h USING (page_id) GROUP BY page_id""")
+g AS (SELECT page_id, byte // 8 AS bin, sum(n) AS n FROM s GROUP BY ALL), k AS (SELECT page_id, size, unnest(range(32)) AS bin FROM (SELECT DISTINCT page_id, size FROM s)),
+h AS (SELECT k.page_id, string_agg(((2000 * coalesce(n, 0) + size) // (2 * size))::INT, ' ' ORDER BY k.bin) AS bins FROM k LEFT JOIN g ON g.page_id = k.page_id AND g.bin = k.bin GROUP BY k.page_id)
+SELECT page_id, max(size)::BIGINT AS size, round(sum(CASE WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN n ELSE 0 END) / max(size), 6) AS printable, round(sum(-p * log2(p)), 6) AS entropy, any_value(bins) AS bins FROM s JOIN h USING (page_id) GROUP BY page_id""")
 def q_cards(t: Tables) -> DataFrame:
     """The card of each page: size, printable share, entropy and 32 bins in thousandths."""
     bytes_ = t.pages.select("page_id", F.explode(S.byte_array(F.col("html").cast("binary"))).alias("digits"))
     counts = bytes_.groupBy("page_id", "digits").agg(F.count(F.lit(1)).alias("n")).select("page_id", F.conv("digits", 16, 10).cast("int").alias("byte"), "n")
     found = X.card(counts, "page_id")
-    return found.withColumn("bins", F.array_join(F.transform("bins", lambda x: F.round(1000 * x).cast("int").cast("string")), " "))
+    # whole numbers, so halves go up whatever the order of sums
+    thousandths = F.transform("counts", lambda x: F.floor((2000 * x + F.col("size")) / (2 * F.col("size"))).cast("string"))
+    return found.select("page_id", "size", "printable", "entropy", F.array_join(thousandths, " ").alias("bins"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, count_if(l_quantity * 100 >= 2048 AND l_discount >= 0.079 AND l_returnflag <> 'N') AS stubs FROM lineitem GROUP BY ALL")
