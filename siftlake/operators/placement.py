@@ -74,16 +74,17 @@ def place_leaves(leaves: DataFrame, ranges: DataFrame, table: str) -> DataFrame:
 
 def nearest(targets: DataFrame, pool: DataFrame, by: Sequence[str], at: str, item: str) -> DataFrame:
     """Each target with the item of its group nearest in `at`, the smaller value first, then the smaller item: targets'
-    columns, item, off. One sort of both sides; the last item before and the first after are carried along."""
+    columns, item, off. Both sides are sorted up and down, and the last item is carried along each way: a frame that ends
+    with its group would be gone through again for every row."""
     keys = list(by)
     kind = dict(pool.dtypes)[item]
     marked = pool.groupBy(*keys, F.col(at).alias("_at")).agg(F.min(item).alias("_i")).withColumn("_t", F.lit(None).cast(f"struct<{', '.join(f'`{c}`: {k}' for c, k in targets.dtypes)}>"))
     asked = targets.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(kind).alias("_i"), F.struct(*targets.columns).alias("_t"))
     rows = marked.unionByName(asked).withColumn("_side", F.col("_t").isNotNull().cast("int"))
     own = F.when(F.col("_i").isNotNull(), F.struct("_at", "_i"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
-    low = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    high = F.first(own, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    up = Window.partitionBy(*keys).orderBy("_at", "_side")
+    down = Window.partitionBy(*keys).orderBy(F.col("_at").desc_nulls_last(), F.when(F.col("_at").isNull(), 1 - F.col("_side")).otherwise(F.col("_side")))
+    low, high = (F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for w in (up, down))
     met = rows.withColumn("_low", low).withColumn("_high", high).where("_t is not null")
     choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._at") - F.col("_at")).alias("off"), F.col(f"{c}._i").alias("item")))
     best = F.array_min(F.filter(F.array(choice("_low"), choice("_high")), lambda x: x.isNotNull()))
