@@ -259,11 +259,12 @@ class Meeting:
 
 def meet(packed: DataFrame, anchors: DataFrame, axes: np.ndarray, same: bool, config: Mining, groups: int) -> DataFrame:
     """Rows of FOUND: what each chunk has to offer to each anchor and slot. One row of the join is one product of
-    matrices."""
+    matrices. Both sides are shuffled: blocks are small as they are stored, but not with a copy in every group, so the
+    driver must not gather them for a broadcast."""
     top = config.positives if same else config.negatives
     named = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "vectors", "width")), "low", "high")
     each = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return packed.join(each, "part").drop("part").mapInArrow(Meeting(axes, same, top, config).work, FOUND)
+    return packed.join(each.hint("merge"), "part").drop("part").mapInArrow(Meeting(axes, same, top, config).work, FOUND)
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -294,7 +295,7 @@ def mine(spark: SparkSession, rows: DataFrame, label: Column, is_anchor: Column,
         top = config.positives if same else config.negatives
         known = ranked(meet(few, blocks(bounds, config, count), axes, same, config, groups), top).where(F.col("rank") == top)
         raised = known.groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("least"))
-        joined = bounds.join(raised, bounds["vec_id"] == raised["anchor_id"], "left")
+        joined = bounds.join(raised.hint("merge"), bounds["vec_id"] == raised["anchor_id"], "left")
         low = F.transform("low", lambda x, i: F.greatest(x, F.coalesce(F.element_at(F.col("least"), i), F.lit(LEAST))))
         return joined.select("vec_id", "label", "embedding", F.when(F.col("least").isNull(), F.col("low")).otherwise(low).alias("low"), "high")
 
@@ -307,13 +308,13 @@ def mine(spark: SparkSession, rows: DataFrame, label: Column, is_anchor: Column,
     share, over = (F.lit(b).cast("decimal(3,0)") * F.col("positive_score").cast("decimal(20,0)") for b in config.band)
     low, high = F.ceil(share / 100).cast("long"), F.floor(over / 100).cast("long")
     slots = positives.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("slot", low.alias("low"), high.alias("high")))).alias("s"))
-    banded = own.join(slots, own["vec_id"] == slots["anchor_id"]).select("vec_id", "label", "embedding", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+    banded = own.join(slots.hint("merge"), own["vec_id"] == slots["anchor_id"]).select("vec_id", "label", "embedding", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
     # slots are filled up, so a block's bounds are one matrix; a band from most to least holds nothing
     filled = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.lit(config.positives) - F.size(c)))
     banded = scratch.save(banded.withColumns({"low": filled("low", MOST), "high": filled("high", LEAST)}), "bands")
     wanted = scratch.save(blocks(scratch.save(seeded(banded, False), "seeded-bands"), config, count), "negative-blocks")
     worst = ranked(meet(packed, wanted, axes, False, config, groups), config.negatives)
-    out = worst.join(positives, ["anchor_id", "slot"])
+    out = worst.join(positives.hint("merge"), ["anchor_id", "slot"])
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
