@@ -24,28 +24,75 @@ def index_scores(headers: DataFrame, tails: DataFrame) -> DataFrame:
     return both.select("header", "tail", F.coalesce("own", "score").alias("score"), F.col("own").isNotNull().alias("same"))
 
 
-def match_in_turn(scores: DataFrame, least: float = 0.5) -> DataFrame:
-    """(header, tail, score): each header in order takes the best tail that is left, its own before others.
+def index_classes(rows: DataFrame, item: str) -> DataFrame:
+    """(item, first, n): the first item with the same set of (number, pos), by a hash of the set, and how many it holds."""
+    held = F.array_sort(F.collect_set(F.struct("number", "pos")))
+    sets = rows.groupBy(item).agg(held.alias("held")).select(item, F.size("held").alias("n"), F.unhex(F.sha2(F.to_json("held"), 256)).alias("key"))
+    return sets.select(item, "n", F.min(item).over(Window.partitionBy("key")).alias("first"))
+
+
+def index_class_scores(headers: DataFrame, tails: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What index_scores gives, between classes: headers with the same objects score alike, and so do tails with the same
+    index. (header, tail, score) between the firsts of classes; the members (header, first, n) and (tail, first, n). A
+    pair holds for each header and tail of its classes but for a header and itself."""
+    tables = lambda name, df: SharedTables(df.sparkSession, name).save(df)
+    tails = tails.withColumnRenamed("offset", "pos")
+    of_header, of_tail = tables("header-classes", index_classes(headers, "header")), tables("tail-classes", index_classes(tails, "tail"))
+    a = headers.join(of_header.where("header = first").select("header"), "header", "left_semi").select("header", "number", "pos").distinct()
+    b = tails.join(of_tail.where("tail = first").select("tail"), "tail", "left_semi").select("tail", "number", "pos").distinct()
+    met = a.join(b, ["number", "pos"]).groupBy("header", "tail").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = met.join(of_header.where("header = first").select("header", "n"), "header").select("header", "tail", (F.col("hits") / F.col("n")).alias("score"))
+    return tables("class-scores", pairs), of_header, of_tail
 
-    All headers ask for their best tail at once, and a tail goes to the first header that asks; headers that are refused,
-    also by a tail that was theirs before, ask for their next one. That ends with what taking turns gives, after as many
-    rounds as the longest run of refusals; each round is one pass over the open candidates."""
-    tables = SharedTables(scores.sparkSession, "match")
-    asks = scores.where((F.col("score") >= least) | F.col("same")).select("header", "tail", "score", (-F.col("same").cast("int")).alias("other"), (-F.col("score")).alias("off"))
 
-    def first_choice(open_: DataFrame) -> DataFrame:
-        return open_.groupBy("header").agg(F.min(F.struct("other", "off", "tail")).alias("b")).select("header", F.col("b.tail").alias("tail"))
+def own_tails(of_header: DataFrame, of_tail: DataFrame) -> DataFrame:
+    """(header, tail, score) of fragments that are header and tail."""
+    both = of_header.select("header").join(of_tail.select(F.col("tail").alias("header")), "header")
+    return both.select("header", F.col("header").alias("tail"), F.lit(1.0).alias("score"))
 
-    open_ = tables.save(asks)
-    n = open_.count()
+
+def match_in_turn(scores: DataFrame, least: float = 0.5) -> DataFrame:
+    """(header, tail, score): each header in order takes the best tail that is left, its own before others."""
+    asks = scores.where((F.col("score") >= least) | F.col("same"))
+    lists = asks.select(F.col("header").alias("class"), "tail", "score", (~F.col("same")).alias("other"))
+    headers = asks.select("header", F.col("header").alias("class")).distinct()
+    return _in_turn(lists, headers, asks.select("header", "tail", "score").where("false"))
+
+
+def match_classes(pairs: DataFrame, of_header: DataFrame, of_tail: DataFrame, least: float = 0.5) -> DataFrame:
+    """match_in_turn over what index_class_scores gives: a list of tails is kept once for all headers of a class."""
+    members = of_tail.select(F.col("first").alias("tail"), F.col("tail").alias("member"))
+    lists = pairs.where(F.col("score") >= least).join(members, "tail").select(F.col("header").alias("class"), F.col("member").alias("tail"), "score", F.lit(True).alias("other"))
+    headers = of_header.select("header", F.col("first").alias("class"))
+    return _in_turn(lists, headers, own_tails(of_header, of_tail))
+
+
+def _in_turn(lists: DataFrame, headers: DataFrame, held: DataFrame) -> DataFrame:
+    """(header, tail, score). lists: class, tail, score, other; headers: header, class; held: what is held at first, the
+    tail that a header likes best (header, tail, score).
+
+    In each round the waiting headers of a class line up with the tails of its list that no earlier header holds, the
+    first with the best, and a tail goes to the first header that asks. Whom a tail refuses, also one who held it, waits
+    again. A header passes over only tails for which earlier ones of its class ask, so the end is that of taking turns.
+    Who finds no tail to ask for is out: earlier headers have asked for all that are left. Rounds are as many as the
+    longest run of refusals between classes; the copies of a class take one."""
+    tables = {name: SharedTables(lists.sparkSession, f"match-{name}") for name in ("lists", "open", "held", "asks")}
+    lists = tables["lists"].save(lists)
+    held = tables["held"].save(held)
+    open_ = tables["open"].save(headers.join(lists.select("class").distinct(), "class", "left_semi").select("header", "class"))
+    best = Window.partitionBy("class").orderBy("other", F.desc("score"), "tail")
     while True:
-        best = first_choice(open_)
-        held = best.groupBy("tail").agg(F.min("header").alias("holder"))
-        refused = best.join(held, "tail").where(F.col("header") != F.col("holder")).select("header", "tail")
-        open_, before = tables.save(open_.join(refused, ["header", "tail"], "left_anti")), n
-        n = open_.count()
-        if n == before:
-            return first_choice(open_).join(open_, ["header", "tail"]).select("header", "tail", "score")
+        waiting = open_.join(held.select("header"), "header", "left_anti")
+        sizes = waiting.groupBy("class").agg(F.min("header").alias("one"), F.count(F.lit(1)).alias("size"))
+        free = lists.join(sizes, "class").join(held.select("tail", F.col("header").alias("holder")), "tail", "left").where("holder is null or holder > one")
+        places = free.withColumn("k", F.row_number().over(best)).where("k <= size").select("class", "k", "tail", "score")
+        queue = waiting.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("header")))
+        asks = tables["asks"].save(places.join(queue, ["class", "k"]).select("header", "tail", "score"))
+        if not asks.head(1):
+            return held
+        open_ = tables["open"].save(open_.join(held.select("header").unionByName(asks.select("header")), "header", "left_semi"))
+        first = F.min(F.struct("header", "score")).alias("b")
+        held = tables["held"].save(held.unionByName(asks).groupBy("tail").agg(first).select("b.header", "tail", "b.score"))
 
 
 def split_tails(tails: DataFrame, placed: DataFrame) -> DataFrame:
