@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.batches import sliced
 from ..sources.shared import SharedTables
 
 #: Rings per unit of distance; unit vectors lie at most 2 apart.
 RINGS = 64
 #: Cosines are compared when rounded to six digits; what may round up to the bound is let in.
 SLACK = 2e-6
+#: Queries that meet a block at once; what that takes is a strip of cosines.
+STRIP = 128
 FOUND = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("cosine", pa.float64())])
 PRINTABLE = np.array([32 <= b < 127 or b in (9, 10, 13) for b in range(256)])
 
@@ -32,7 +35,7 @@ def fingerprints(artefacts: DataFrame, id_col: str, data: str) -> DataFrame:
     kept = [c for c in artefacts.columns if c != data]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts = np.zeros((batch.num_rows, 256))
             for i, value in enumerate(batch.column(data)):
                 counts[i] = np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256)
@@ -50,9 +53,7 @@ def _units(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """id, unit. Rows without an id, and vectors that are null, zero or not finite, take no part."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             x = _matrix(batch.column("v"))
             with np.errstate(over="ignore", invalid="ignore"):
                 norm = np.sqrt((x * x).sum(1))
@@ -124,10 +125,22 @@ def _pairs(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """The k best of a block for each query of a block."""
     if not left.num_rows or not right.num_rows:
         return FOUND.empty_table()
-    query, rep = left.column("id").to_numpy(), right.column("rep").to_numpy()
-    cosine = np.round(_matrix(left.column("unit")) @ _matrix(right.column("unit")).T, 6)
-    best = np.lexsort((np.broadcast_to(rep, cosine.shape), -cosine), axis=1)[:, :k]
-    return pa.table([np.repeat(query, best.shape[1]), rep[best].ravel(), np.take_along_axis(cosine, best, 1).ravel()], schema=FOUND)
+    query, rep, y = left.column("id").to_numpy(), right.column("rep").to_numpy(), _matrix(right.column("unit"))
+    found = []
+    for i in range(0, left.num_rows, STRIP):
+        cosine = _matrix(left.column("unit").slice(i, STRIP)) @ y.T
+        np.round(cosine, 6, out=cosine)
+        few = min(k, cosine.shape[1])
+        # only what is as near as the k-th is put in order, ties included
+        least = np.partition(cosine, cosine.shape[1] - few, axis=1)[:, cosine.shape[1] - few]
+        row, at = np.nonzero(cosine >= least[:, None])
+        near = cosine[row, at]
+        order = np.lexsort((rep[at], -near, row))
+        row, at, near = row[order], at[order], near[order]
+        begin = np.searchsorted(row, np.arange(len(cosine)))
+        best = np.arange(len(row)) - begin[row] < few
+        found.append(pa.table([query[i + row[best]], rep[at[best]], near[best]], schema=FOUND))
+    return pa.concat_tables(found)
 
 
 def _meet(routed: DataFrame, index: DataFrame, parts: int, k: int) -> DataFrame:
@@ -158,8 +171,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, block: int = 2048
     centres = fit_pivots(_matrix(picked.column("unit")), pivots)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = distances(_matrix(batch.column("unit")), centres) if batch.num_rows else np.zeros((0, len(centres)))
+        for batch in sliced(batches):
+            d = distances(_matrix(batch.column("unit")), centres)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1), pa.int32()), pa.array((d.min(1) * RINGS).astype(np.int32))], ["rep", "unit", "pivot", "ring"])
 
     placed = save(reps.select("rep", "unit").mapInArrow(near, "rep long, unit array<double>, pivot int, ring int"), "cells")
@@ -176,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, block: int = 2048
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 d = distances(_matrix(batch.column("unit")), centres)
                 bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
                 own, home = d.argmin(1), (d.min(1) * RINGS).astype(int)
