@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import SharedTables
 
+#: Rows of a task that sorts them.
+TASK_ROWS = 1 << 18
+
 
 def first_of_equal(df: DataFrame, key: Column, order: Sequence[str], id_col: str, into: str = "duplicate_of") -> DataFrame:
     """Marks each row with the id of the first row of equal key, null on that one. The first rows come from a map-side
@@ -50,6 +53,22 @@ def merge_intervals(segments: DataFrame, partition: Sequence[str], start: str, e
     return runs.groupBy(*partition, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_run")
 
 
+def covered_length(segments: DataFrame, partition: Sequence[str], start: str, end: str) -> DataFrame:
+    """partition, n_runs, covered: how many disjoint intervals the segments make and how long these are together. What each
+    segment adds beyond the reach of those before it is summed, so no run is a group of its own."""
+    w = Window.partitionBy(*partition).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = in_parts(segments.select(*partition, start, end), partition).withColumn("_reach", reach)
+    new = F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("long")
+    more = F.greatest(F.col(end) - F.greatest(start, "_reach"), F.lit(0))
+    return rows.groupBy(*partition).agg(F.sum(new).alias("n_runs"), F.sum(more).alias("covered"))
+
+
+def in_parts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt by keys over as many tasks as they need, so that a task's share does not grow with the input."""
+    return df.repartition(1 + df.count() // TASK_ROWS, *keys)
+
+
 def split_intervals(segments: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     """Segments (key, start, end) cut at the bounds of `cuts` (key, cut_start, cut_end): key, start, end, inside."""
     points = cuts.select(key, F.explode(F.array("cut_start", "cut_end")).alias("p")).distinct()

@@ -115,8 +115,7 @@ SELECT l_suppkey, count(*) AS n_runs, sum(e - s)::BIGINT AS covered FROM (SELECT
 def q_coverage(t: Tables) -> DataFrame:
     """Covered length per key from disjoint intervals, not from sets of cells."""
     segments = t.lineitem.select("l_suppkey", (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("e"))
-    runs = R.merge_intervals(segments, ["l_suppkey"], "s", "e")
-    return runs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return R.covered_length(segments, ["l_suppkey"], "s", "e")
 
 
 _CUT = """WITH seg AS (SELECT DISTINCT l_orderkey AS k, 0::BIGINT AS s, 60::BIGINT AS e FROM lineitem),
