@@ -207,12 +207,16 @@ def joins_in_order(segments: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def coalesce_segments(segments: DataFrame, file: str) -> DataFrame:
-    """Neighbouring segments (file, start, end, fragment, source) that go on in both places become one."""
+    """Neighbouring segments (file, start, end, fragment, source) that go on in both places become one. A run is its first
+    row with the end of its last, which comes next when the rows between are left out; no run is a group of its own."""
     w = Window.partitionBy(file).orderBy("start")
     lag = lambda c: F.lag(c).over(w)
     new = ~F.coalesce((lag("end") == F.col("start")) & lag("fragment").eqNullSafe(F.col("fragment")) & ((F.col("source") - lag("source")).eqNullSafe(F.col("start") - lag("start"))), F.lit(False))
-    runs = segments.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(file, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("fragment").alias("fragment"), F.min("source").alias("source")).drop("_run")
+    rows = segments.withColumn("_new", new)
+    ends = rows.withColumn("_last", F.coalesce(F.lead("_new").over(w), F.lit(True))).where("_new or _last")
+    # a last segment that ends before it starts ends its run where it starts
+    until = F.when(F.col("_last"), F.col("end")).otherwise(F.greatest(F.lead("start").over(w), F.lead("end").over(w)))
+    return ends.withColumn("end", until).where("_new").select(file, "start", "end", "fragment", "source")
 
 
 def junctions(segments: DataFrame, owners: DataFrame, cluster: int = fixed.CLUSTER) -> DataFrame:
