@@ -24,6 +24,59 @@ def index_scores(headers: DataFrame, tails: DataFrame) -> DataFrame:
     return both.select("header", "tail", F.coalesce("own", "score").alias("score"), F.col("own").isNotNull().alias("same"))
 
 
+#: Objects of an item whose pairs are found where they meet first; items with more are counted meeting by meeting.
+MOST = 64
+
+
+def _key() -> Column:
+    """Number and place of an object in one number, null where they do not fit."""
+    return F.when(F.col("number").between(0, 63) & (F.abs("pos") < 1 << 56), F.col("pos") * 64 + F.col("number")).cast("long")
+
+
+def _odd() -> Column:
+    return _key().isNull() & F.col("number").isNotNull() & F.col("pos").isNotNull()
+
+
+def _with_sets(rows: DataFrame, item: str) -> DataFrame:
+    """(item, number, pos, key, n, held): the distinct objects (item, number, pos), with number and place in one key, how
+    many the item holds, and all its keys. held is null where they are more than MOST or make no key."""
+    w = Window.partitionBy(item)
+    o = w.orderBy("number", "pos")
+    again = F.lag(item).over(o).isNotNull() & F.lag("number").over(o).eqNullSafe(F.col("number")) & F.lag("pos").over(o).eqNullSafe(F.col("pos"))
+    rows = rows.select(item, "number", "pos").withColumn("again", again).where("not again").drop("again")
+    rows = rows.withColumns({"key": _key(), "n": F.count(F.lit(1)).over(w), "odd": F.count_if(_odd()).over(w)})
+    bounded = (F.col("n") <= MOST) & (F.col("odd") == 0)
+    rows = rows.withColumn("held", F.when(bounded, F.collect_list(F.when(bounded, F.col("key"))).over(w)))
+    return rows.where("number is not null and pos is not null").drop("odd")
+
+
+def _has_wide(rows: DataFrame, item: str) -> bool:
+    """Whether any item has no bounded set, or might have none."""
+    return not rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.max(_odd()).alias("odd")).where(f"n > {MOST} or odd").isEmpty()
+
+
+def _meetings(headers: DataFrame, tails: DataFrame) -> DataFrame:
+    """(header, tail, n, hits) of headers and tails (each item, number, pos) with a common object. A pair of bounded sets is
+    counted in full at its least common key, so nothing is moved for a pair; others are summed up over all meetings."""
+    x, y = _with_sets(headers, "header"), _with_sets(tails, "tail")
+    a = x.where("held is not null").select("header", "key", F.col("n").cast("int").alias("n"), F.col("held").alias("a"))
+    b = y.where("held is not null").select("tail", "key", F.col("held").alias("b"))
+    met = a.join(b, "key").withColumn("both", F.array_intersect("a", "b")).where("array_min(both) = key")
+    out = met.select("header", "tail", F.col("n").cast("long").alias("n"), F.size("both").cast("long").alias("hits"))
+    wide = [(x.where("held is null"), y)] if _has_wide(headers, "header") else []
+    wide += [(x.where("held is not null"), y.where("held is null"))] if _has_wide(tails, "tail") else []
+    for one, other in wide:
+        met = one.select("header", "number", "pos", "n").join(other.select("tail", "number", "pos"), ["number", "pos"])
+        out = out.unionByName(met.groupBy("header", "tail", "n").agg(F.count(F.lit(1)).alias("hits")))
+    return out
+
+
+def all_index_scores(headers: DataFrame, tails: DataFrame) -> DataFrame:
+    """What index_scores gives, every pair, without moving the meetings of pairs."""
+    between = _meetings(headers, tails.withColumnRenamed("offset", "pos")).where("header <> tail").select("header", "tail", (F.col("hits") / F.col("n")).alias("score"), F.lit(False).alias("same"))
+    return between.unionByName(own_tails(headers.select("header").distinct(), tails.select("tail").distinct()).withColumn("same", F.lit(True)))
+
+
 def index_classes(rows: DataFrame, item: str) -> DataFrame:
     """(item, first, n): the first item with the same set of (number, pos), by a hash of the set, and how many it holds."""
     held = F.array_sort(F.collect_set(F.struct("number", "pos")))
@@ -31,17 +84,17 @@ def index_classes(rows: DataFrame, item: str) -> DataFrame:
     return sets.select(item, "n", F.min(item).over(Window.partitionBy("key")).alias("first"))
 
 
-def index_class_scores(headers: DataFrame, tails: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index_class_scores(headers: DataFrame, tails: DataFrame, least: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What index_scores gives, between classes: headers with the same objects score alike, and so do tails with the same
     index. (header, tail, score) between the firsts of classes; the members (header, first, n) and (tail, first, n). A
-    pair holds for each header and tail of its classes but for a header and itself."""
+    pair holds for each header and tail of its classes but for a header and itself. Scores under `least` are left out."""
     tables = lambda name, df: SharedTables(df.sparkSession, name).save(df)
     tails = tails.withColumnRenamed("offset", "pos")
     of_header, of_tail = tables("header-classes", index_classes(headers, "header")), tables("tail-classes", index_classes(tails, "tail"))
-    a = headers.join(of_header.where("header = first").select("header"), "header", "left_semi").select("header", "number", "pos").distinct()
-    b = tails.join(of_tail.where("tail = first").select("tail"), "tail", "left_semi").select("tail", "number", "pos").distinct()
-    met = a.join(b, ["number", "pos"]).groupBy("header", "tail").agg(F.count(F.lit(1)).alias("hits"))
-    pairs = met.join(of_header.where("header = first").select("header", "n"), "header").select("header", "tail", (F.col("hits") / F.col("n")).alias("score"))
+    a = headers.join(of_header.where("header = first").select("header"), "header", "left_semi")
+    b = tails.join(of_tail.where("tail = first").select("tail"), "tail", "left_semi")
+    met = _meetings(a, b)
+    pairs = met.select("header", "tail", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
     return tables("class-scores", pairs), of_header, of_tail
 
 
